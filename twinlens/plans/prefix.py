@@ -32,3 +32,17 @@ def range_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], sums
     run = placed.withColumns({f"{s}_upto": F.sum(s).over(inside) for s in sums})
     joined = run.join(offsets, ["_part", *group])
     return joined.select(*df.columns, *[(F.col(f"{s}_upto") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums])
+
+
+def running_least(df: DataFrame, order: str, value: str, parts: int | None = None, label: str = "least") -> DataFrame:
+    """Adds ``<value>_least``: the smallest value of this row and all rows of greater order, over the whole table, without one task for it.
+
+    Orders must be distinct.
+    """
+    n = parts or width(df.sparkSession)
+    placed = materialize(df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), label)
+    rest = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    floors = placed.groupBy("_part").agg(F.min(value).alias("_low")).select("_part", F.min("_low").over(later).alias("_floor"))
+    out = placed.withColumn("_own", F.min(value).over(rest)).join(F.broadcast(floors), "_part")
+    return out.select(*df.columns, F.least("_own", "_floor").alias(f"{value}_least"))
