@@ -31,8 +31,9 @@ UNITS = (
     ("paragraph", re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\f")),
     ("line", re.compile(r"\r\n|\n|\r| ")),
     ("sentence", re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[。！？]")),
-    ("word", re.compile(r"\S(?=\s)")),
+    ("word", None),
 )
+_SPACES = np.array([ord(c) for c in map(chr, range(0x3001)) if c.isspace()], dtype=np.uint32)
 
 
 class Piece(NamedTuple):
@@ -47,7 +48,11 @@ def boundaries(text: str, starts: np.ndarray) -> list[tuple[str, list[int]]]:
     """Per kind, the sorted token positions at which a natural unit has just ended."""
     out = []
     for kind, pattern in UNITS:
-        ends = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
+        if pattern is None:
+            blank = np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _SPACES)
+            ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        else:
+            ends = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
         at = np.searchsorted(starts, ends, "left")
         fits = at < len(starts)
         ends, at = ends[fits], at[fits]
@@ -60,7 +65,7 @@ def boundaries(text: str, starts: np.ndarray) -> list[tuple[str, list[int]]]:
 
 def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY) -> list[Piece]:
     """The pieces of one text; none if it has at most ``limit`` tokens."""
-    starts = np.asarray(token_starts(text, vocabulary), dtype=np.int64)
+    starts = token_starts(text, vocabulary)
     n = len(starts)
     if n <= limit:
         return []
