@@ -46,3 +46,16 @@ def running_least(df: DataFrame, order: str, value: str, parts: int | None = Non
     floors = placed.groupBy("_part").agg(F.min(value).alias("_low")).select("_part", F.min("_low").over(later).alias("_floor"))
     out = placed.withColumn("_own", F.min(value).over(rest)).join(F.broadcast(floors), "_part")
     return out.select(*df.columns, F.least("_own", "_floor").alias(f"{value}_least"))
+
+
+def numbered(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "place", label: str = "numbered") -> DataFrame:
+    """Adds the place of each row (from 1) in its group, or in the whole table; no task holds a whole group. Orders must be distinct within a group."""
+    base = df.withColumns({"_one": F.lit(1).cast("bigint"), "_whole": F.lit(0)})
+    return range_prefix(base, [*group] or ["_whole"], list(order), ["_one"], label=label).withColumnRenamed("_one_upto", name).drop("_one", "_whole")
+
+
+def with_previous(df: DataFrame, order: Sequence[str], columns: Sequence[str], label: str = "previous") -> DataFrame:
+    """Adds ``place`` and ``previous_<c>``: the values of the row before in the order of the whole table, NULL for the first. Neighbours meet by an equi-join on their place, not in one window."""
+    placed = materialize(numbered(df, order, label=label), label)
+    before = placed.select((F.col("place") + 1).alias("place"), *[F.col(c).alias(f"previous_{c}") for c in columns])
+    return placed.join(before, "place", "left")
