@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.values import filled, number, truth
-from twinlens.plans.prefix import range_prefix
+from twinlens.plans.prefix import place, prefix_sums
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -82,32 +82,29 @@ def profile(df: DataFrame, columns: Sequence[str], load: str, forms: Mapping[str
     runs = runs.withColumn("load_key", F.coalesce("load_id", F.lit(-(2**63))))
     loads = df.select(F.coalesce(F.col(f"`{load}`").cast("bigint"), F.lit(-(2**63))).alias("of_key")).distinct()
     follows = loads.withColumn("next_key", F.lead("of_key").over(Window.orderBy("of_key")))
+    # All loads together are range-sorted by column and value, each run once.
+    ranked = runs.withColumns({"rank": F.when(F.col("value").isNull(), 2).when(F.col("num").isNull(), 1).otherwise(0), "sort_num": F.coalesce("num", F.lit(0.0)), "sort_text": F.when(F.col("num").isNull(), F.col("value"))})
+    placed = place(ranked.drop("load_id"), ["column_name", "rank", "sort_num", "sort_text"], parts, "profile")
+    group, order = ["column_name", "load_key"], ["rank", "sort_num", "sort_text"]
     zero = F.lit(0).cast("bigint")
     # Each run counts in its own load and, as the load before, in the next one.
-    pairs = runs.join(follows, F.col("load_key") == F.col("of_key")).withColumn(
-        "side",
-        F.explode(
-            F.array(
-                F.struct(F.col("load_key").alias("at"), F.col("n").alias("own"), zero.alias("prev")),
-                F.struct(F.col("next_key").alias("at"), zero.alias("own"), F.when(F.col("value").isNotNull(), F.col("n")).otherwise(zero).alias("prev")),
-            )
-        ),
+    side = F.explode(
+        F.array(
+            F.struct(F.col("load_key").alias("at"), F.col("n").alias("own"), zero.alias("prev")),
+            F.struct(F.col("next_key").alias("at"), zero.alias("own"), F.when(F.col("rank") < 2, F.col("n")).otherwise(zero).alias("prev")),
+        )
     )
-    pairs = pairs.filter("side.at is not null and side.own + side.prev > 0").select(
-        "column_name", F.col("side.at").alias("load_key"), F.when(F.col("value").isNull(), 2).when(F.col("num").isNull(), 1).otherwise(0).alias("rank"),
-        F.coalesce("num", F.lit(0.0)).alias("sort_num"), F.when(F.col("num").isNull(), F.col("value")).alias("sort_text"), "value", "num", "wrong", "outside",
-        F.col("side.own").alias("own"), F.col("side.prev").alias("prev"),
-    )
-    group, order = ["column_name", "load_key"], ["rank", "sort_num", "sort_text"]
-    placed = range_prefix(pairs, group, order, ["own", "prev"], parts, "profile")
+    slim = placed.join(follows, F.col("load_key") == F.col("of_key")).select("_part", "column_name", "rank", "sort_num", "sort_text", "num", "wrong", "outside", side.alias("side"))
+    pairs = slim.filter("side.at is not null and side.own + side.prev > 0").select("_part", "column_name", F.col("side.at").alias("load_key"), "rank", "sort_num", "sort_text", "num", "wrong", "outside", F.col("side.own").alias("own"), F.col("side.prev").alias("prev"))
+    run = prefix_sums(pairs, group, order, ["own", "prev"])
     has = F.col("rank") < 2
-    totals = placed.groupBy(*group).agg(
+    totals = pairs.groupBy(*group).agg(
         F.sum("own").alias("rows"), F.sum(F.when(~has, F.col("own")).otherwise(0)).alias("missing_values"), F.sum(F.when(F.col("rank") == 0, F.col("own")).otherwise(0)).alias("numbers"), F.sum(F.when(has, F.col("prev")).otherwise(0)).alias("prev_values"),
     )
     own_values = F.col("rows") - F.col("missing_values")
     valid = (F.col("rank") == 0) & ~F.col("outside")
-    top = placed.filter(valid & (F.col("own") > 0)).groupBy(*group, "num").agg(F.sum("own").alias("n")).groupBy(*group).agg(F.max("n").alias("top_valid"))
-    curves = placed.filter(has).join(totals, group)
+    top = pairs.filter(valid & (F.col("own") > 0)).groupBy(*group, "num").agg(F.sum("own").alias("n")).groupBy(*group).agg(F.max("n").alias("top_valid"))
+    curves = run.filter(has).join(totals, group)
     quantile = lambda q: F.min(F.when((F.col("rank") == 0) & (F.col("own_upto") >= F.ceil(F.lit(q) * F.col("numbers"))), F.col("num")))
     seen = F.col("own") > 0
     stats = curves.groupBy(*group).agg(
@@ -119,11 +116,10 @@ def profile(df: DataFrame, columns: Sequence[str], load: str, forms: Mapping[str
         F.min(F.when(seen, F.col("num"))).alias("min_number"),
         *[quantile(q).alias(f"q{round(q * 100)}") for q in QUANTILES],
         F.max(F.when(seen, F.col("num"))).alias("max_number"),
-        F.min(F.when(seen & (F.col("rank") == 1), F.col("value"))).alias("min_text"),
-        F.max(F.when(seen & (F.col("rank") == 1), F.col("value"))).alias("max_text"),
         F.max(F.when((own_values > 0) & (F.col("prev_values") > 0), F.abs(F.col("own_upto") / own_values - F.col("prev_upto") / F.col("prev_values")))).alias("ks_previous"),
     )
-    whole = totals.filter("rows > 0").join(stats, group, "left").join(top, group, "left")
+    texts = placed.filter("rank = 1").groupBy(*group).agg(F.min("value").alias("min_text"), F.max("value").alias("max_text"))
+    whole = totals.filter("rows > 0").join(stats, group, "left").join(top, group, "left").join(texts, group, "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return whole.select(
         "column_name", F.when(F.col("load_key") != -(2**63), F.col("load_key")).alias("load_id"), "rows", "missing_values", count("distinct_values"), count("numbers"), count("wrong_form"), count("out_of_range"), count("valid"),

@@ -16,22 +16,27 @@ from pyspark.sql import functions as F
 from twinlens.session import materialize, width
 
 
-def range_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], parts: int | None = None, label: str = "range") -> DataFrame:
-    """Adds ``<s>_upto`` for each s in sums: its sum over the rows of the group
-    up to this one in the given order, rows of equal order included.
+def place(df: DataFrame, keys: Sequence[str], parts: int | None = None, label: str = "range") -> DataFrame:
+    """Writes the rows range-partitioned and sorted by keys; ``_part`` is the partition and ``_pos`` rises along the order."""
+    n = parts or width(df.sparkSession)
+    return materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}), label)
+
+
+def prefix_sums(placed: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Adds ``<s>_upto`` to placed rows: the sum of s over the rows of the group up to this one, rows of equal order included.
 
-    Rows of one group with equal order must be few; add a tie breaker to
-    ``order`` where they are not. Group columns must not be NULL.
+    Along the order of a group ``_part`` must not fall. Rows of one group with equal order must be few and in one part.
     """
-    n = parts or width(df.sparkSession)
-    keys = [*group, *order]
-    placed = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), label)
     inside = Window.partitionBy("_part", *group).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part", *group).agg(*[F.sum(s).alias(f"{s}_all") for s in sums]).select("_part", *group, *[F.coalesce(F.sum(f"{s}_all").over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
     run = placed.withColumns({f"{s}_upto": F.sum(s).over(inside) for s in sums})
-    joined = run.join(offsets, ["_part", *group])
-    return joined.select(*df.columns, *[(F.col(f"{s}_upto") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums])
+    return run.join(offsets, ["_part", *group]).select(*placed.columns, *[(F.col(f"{s}_upto") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums])
+
+
+def range_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], parts: int | None = None, label: str = "range") -> DataFrame:
+    """prefix_sums over any rows, placed by group and order. Group columns must not be NULL; add a tie breaker to ``order`` where many rows of a group are equal."""
+    return prefix_sums(place(df, [*group, *order], parts, label).drop("_pos"), group, order, sums).drop("_part")
 
 
 def running_least(df: DataFrame, order: str, value: str, parts: int | None = None, label: str = "least") -> DataFrame:
