@@ -2,7 +2,9 @@
 
 Each source gets the same expected number of copies for each of its documents:
 its target tokens over the tokens it has, at most its allowed repeats. Tokens that a
-capped source cannot supply are shared out among the others by their targets.
+capped source cannot supply are shared out among the others by their targets; or,
+with ``exact``, the mixture is made as small as it takes for all sources with
+documents to reach their targets in proportion, whatever that leaves unused.
 Within a source the expected copies are summed up over the documents in order of size,
 ties by a hash, one random offset per source is added, and a document is emitted once
 for each whole number its stretch of the sum crosses: every document appears the
@@ -34,11 +36,14 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[\s\-]+", "_")
 
 
-def plan(tokens: dict[str, int], weights: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Expected copies per document of each source. tokens: what each source has; weights: target share and allowed repeats."""
+def plan(tokens: dict[str, int], weights: dict[str, tuple[float, int]], total: float | None = None, exact: bool = False) -> dict[str, float]:
+    """Expected copies per document of each source. tokens: what each source has; weights: target share and allowed repeats; total: tokens wanted, by default all there are; exact: no more than keeps the shares."""
     free = {s for s, (share, most) in weights.items() if tokens.get(s, 0) > 0 and share > 0 and most > 0}
     copies = dict.fromkeys(weights, 0.0)
     left = float(sum(tokens[s] for s in free)) if total is None else float(total)
+    if exact and free:
+        left = min(left, min(tokens[s] * weights[s][1] / weights[s][0] for s in free) * sum(weights[s][0] for s in free))
+        return copies | {s: min(float(weights[s][1]), left * weights[s][0] / sum(weights[x][0] for x in free) / tokens[s]) for s in free}
     while free:
         shares = sum(weights[s][0] for s in free)
         want = {s: left * weights[s][0] / shares / tokens[s] for s in free}
@@ -64,7 +69,7 @@ def weights_of(weights: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["source"]: (float(r["share"]), int(r["most"] or 0)) for r in rows}
 
 
-def mix(sized: DataFrame, key: str, source: str, tokens: str, weights: DataFrame, total: float | None = None, seed: str = "1") -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, key: str, source: str, tokens: str, weights: DataFrame, total: float | None = None, seed: str = "1", exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     mixture: doc_key, source, copy_no (from 1), tokens; one row per emitted copy.
@@ -75,7 +80,7 @@ def mix(sized: DataFrame, key: str, source: str, tokens: str, weights: DataFrame
     narrow = sized.select(F.col(f"`{key}`").cast("bigint").alias("doc_key"), source_name(F.col(f"`{source}`").cast("string")).alias("source"), F.coalesce(F.col(f"`{tokens}`").cast("bigint"), F.lit(0)).alias("tokens"))
     docs = materialize(narrow.filter(F.col("source").isin(list(listed))).withColumn("row_no", F.monotonically_increasing_id()), "sized")
     has = {r["source"]: (r["n"], r["t"]) for r in docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
-    expected = plan({s: t for s, (_, t) in has.items()}, listed, total)
+    expected = plan({s: t for s, (_, t) in has.items()}, listed, total, exact)
     rates = spark.createDataFrame([(s, r, offset(s, seed)) for s, r in expected.items() if r > 0], "source string, rate double, shift double")
     order = docs.withColumns({"tie": F.xxhash64(F.lit(seed), "doc_key"), "one": F.lit(1).cast("bigint")})
     ranked = range_prefix(order, ["source"], ["tokens", "tie", "doc_key", "row_no"], ["one"], label="mix").join(F.broadcast(rates), "source")

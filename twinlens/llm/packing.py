@@ -3,7 +3,9 @@
 Sum-of-squares packing: let N(h) be the number of open containers filled to h.
 Each document goes where the sum of N(h)^2 becomes smallest: into an open
 container or a new one; of equal places the fullest is taken. Keeping every gap
-rare keeps some fitting gap at hand for any size that is still to come.
+rare keeps some fitting gap at hand for any size that is still to come. A
+container whose gap is smaller than the smallest document is closed and counts
+nothing.
 
 Documents are dealt to blocks by a hash of their key, so a block is a bounded,
 random sample of all sizes; blocks are packed side by side, largest documents
@@ -35,17 +37,18 @@ BLOCK = 20_000
 def sum_of_squares(sizes: Sequence[int], capacity: int) -> np.ndarray:
     """Container number of each size, in the given order. Sizes are at most the capacity; size 0 goes to container 0."""
     out = np.zeros(len(sizes), dtype=np.int64)
-    count = np.zeros(capacity + 1, dtype=np.int64)  # count[h]: open containers filled to h; count[0] and count[capacity] stay 0
+    count = np.zeros(capacity + 1, dtype=np.int64)  # count[h]: open containers filled to h; count[0] and those of closed levels stay 0
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     made = 0
+    closed = capacity - min((int(s) for s in sizes if s > 0), default=1) + 1  # levels from here on can take nothing more
     far = np.iinfo(np.int64).max
     for i, s in enumerate(sizes):
         s = int(s)
         if s == 0:
             continue
-        # Growth of the sum when the document goes to level h: leave h, enter h + s; a full container is closed and counts nothing.
+        # Growth of the sum when the document goes to level h: leave h, enter h + s.
         after = 2 * count[s:] + 1
-        after[capacity - s] = 0
+        after[max(0, closed - s) :] = 0
         gain = after + 1 - 2 * count[: capacity - s + 1]
         gain[count[: capacity - s + 1] == 0] = far
         gain[0] = after[0]
@@ -55,7 +58,7 @@ def sum_of_squares(sizes: Sequence[int], capacity: int) -> np.ndarray:
         else:
             number = open_at[h].pop()
             count[h] -= 1
-        if h + s < capacity:
+        if h + s < closed:
             open_at[h + s].append(number)
             count[h + s] += 1
         out[i] = number

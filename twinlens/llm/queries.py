@@ -83,8 +83,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sized(spark, sf_dir, "doc_id"), "doc_id", "tokens", capacity), capacity)
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(_sized(spark, sf_dir, "doc_id", "source"), "doc_id", "source", "tokens", table(spark, sf_dir, "source_weights"))
+def _mix(spark: SparkSession, sf_dir: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_sized(spark, sf_dir, "doc_id", "source"), "doc_id", "source", "tokens", table(spark, sf_dir, "source_weights"), exact=exact)
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, True)[1]
+
+
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     most = limits(spark, sf_dir)
     return splitting.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", most["piece_limit"], most["piece_overlap"], with_text)
@@ -110,7 +114,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_sample, p3_found, p3_unmatched, p4_found, p4_records, p6_found, p6_consensus, p6_reliability, p6_agreement, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_pieces)
+    for f in (p2_sample, p3_found, p3_unmatched, p4_found, p4_records, p6_found, p6_consensus, p6_reliability, p6_agreement, p7_containers, p7_fill, p8_mixture, p8_shares, p8_exact_shares, p9_found, p9_pieces)
 }
 
 _NUM = r"case when regexp_full_match(trim({c}, ' '), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim({c}, ' ') as double) end"
