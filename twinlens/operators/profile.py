@@ -78,13 +78,19 @@ def profile(df: DataFrame, columns: Sequence[str], load: str, forms: Mapping[str
     distribution from the load before it (NULL when either has no values).
     """
     forms = forms or {}
-    runs = unpivot(df, columns, forms, load).groupBy("column_name", "load_id", "value", "num", "wrong", "outside").agg(F.count("*").alias("n"))
+    text = lambda name: F.col(f"`{name}`").cast("string")
+    cells = F.array(*[F.struct(F.lit(name).alias("column_name"), F.when(filled(text(name)), text(name)).alias("value")) for name in columns])
+    runs = df.select(F.col(f"`{load}`").cast("bigint").alias("load_id"), F.explode(cells).alias("cell")).groupBy("load_id", "cell.column_name", "cell.value").agg(F.count("*").alias("n"))
+    # Form and range are judged once per run, not per cell.
+    runs = runs.withColumn("num", number(F.col("value")))
+    judged = lambda judge: F.coalesce(*[F.when(F.col("column_name") == name, judge(form)) for name, form in forms.items()], F.lit(False))
+    runs = runs.withColumns({"wrong": F.col("value").isNotNull() & judged(lambda f: f.wrong(F.col("value"), F.col("num"))), "outside": judged(lambda f: f.outside(F.col("num")))})
     runs = runs.withColumn("load_key", F.coalesce("load_id", F.lit(-(2**63))))
     loads = df.select(F.coalesce(F.col(f"`{load}`").cast("bigint"), F.lit(-(2**63))).alias("of_key")).distinct()
     follows = loads.withColumn("next_key", F.lead("of_key").over(Window.orderBy("of_key")))
     # All loads together are range-sorted by column and value, each run once.
     ranked = runs.withColumns({"rank": F.when(F.col("value").isNull(), 2).when(F.col("num").isNull(), 1).otherwise(0), "sort_num": F.coalesce("num", F.lit(0.0)), "sort_text": F.when(F.col("num").isNull(), F.col("value"))})
-    placed = place(ranked.drop("load_id"), ["column_name", "rank", "sort_num", "sort_text"], parts, "profile")
+    placed = place(ranked.drop("load_id", "value", "num"), ["column_name", "rank", "sort_num", "sort_text"], parts, "profile")
     group, order = ["column_name", "load_key"], ["rank", "sort_num", "sort_text"]
     zero = F.lit(0).cast("bigint")
     # Each run counts in its own load and, as the load before, in the next one.
@@ -94,32 +100,20 @@ def profile(df: DataFrame, columns: Sequence[str], load: str, forms: Mapping[str
             F.struct(F.col("next_key").alias("at"), zero.alias("own"), F.when(F.col("rank") < 2, F.col("n")).otherwise(zero).alias("prev")),
         )
     )
-    slim = placed.join(follows, F.col("load_key") == F.col("of_key")).select("_part", "column_name", "rank", "sort_num", "sort_text", "num", "wrong", "outside", side.alias("side"))
-    pairs = slim.filter("side.at is not null and side.own + side.prev > 0").select("_part", "column_name", F.col("side.at").alias("load_key"), "rank", "sort_num", "sort_text", "num", "wrong", "outside", F.col("side.own").alias("own"), F.col("side.prev").alias("prev"))
-    run = prefix_sums(pairs, group, order, ["own", "prev"])
-    has = F.col("rank") < 2
-    totals = pairs.groupBy(*group).agg(
-        F.sum("own").alias("rows"), F.sum(F.when(~has, F.col("own")).otherwise(0)).alias("missing_values"), F.sum(F.when(F.col("rank") == 0, F.col("own")).otherwise(0)).alias("numbers"), F.sum(F.when(has, F.col("prev")).otherwise(0)).alias("prev_values"),
-    )
-    own_values = F.col("rows") - F.col("missing_values")
-    valid = (F.col("rank") == 0) & ~F.col("outside")
-    top = pairs.filter(valid & (F.col("own") > 0)).groupBy(*group, "num").agg(F.sum("own").alias("n")).groupBy(*group).agg(F.max("n").alias("top_valid"))
-    curves = run.filter(has).join(totals, group)
-    quantile = lambda q: F.min(F.when((F.col("rank") == 0) & (F.col("own_upto") >= F.ceil(F.lit(q) * F.col("numbers"))), F.col("num")))
-    seen = F.col("own") > 0
-    stats = curves.groupBy(*group).agg(
-        F.count_if(seen).alias("distinct_values"),
-        F.sum(F.when(F.col("wrong"), F.col("own")).otherwise(0)).alias("wrong_form"),
-        F.sum(F.when(F.col("outside"), F.col("own")).otherwise(0)).alias("out_of_range"),
-        F.sum(F.when(valid, F.col("own")).otherwise(0)).alias("valid"),
-        F.sum(F.when(valid & seen, F.col("own") * F.col("num"))).alias("sum_valid"),
-        F.min(F.when(seen, F.col("num"))).alias("min_number"),
-        *[quantile(q).alias(f"q{round(q * 100)}") for q in QUANTILES],
-        F.max(F.when(seen, F.col("num"))).alias("max_number"),
-        F.max(F.when((own_values > 0) & (F.col("prev_values") > 0), F.abs(F.col("own_upto") / own_values - F.col("prev_upto") / F.col("prev_values")))).alias("ks_previous"),
-    )
-    texts = placed.filter("rank = 1").groupBy(*group).agg(F.min("value").alias("min_text"), F.max("value").alias("max_text"))
-    whole = totals.filter("rows > 0").join(stats, group, "left").join(top, group, "left").join(texts, group, "left")
+    slim = placed.join(follows, F.col("load_key") == F.col("of_key")).select("_part", "column_name", "rank", "sort_num", "sort_text", "wrong", "outside", side.alias("side"))
+    pairs = slim.filter("side.at is not null and side.own + side.prev > 0").select("_part", "column_name", F.col("side.at").alias("load_key"), "rank", "sort_num", "sort_text", "wrong", "outside", F.col("side.own").alias("own"), F.col("side.prev").alias("prev"))
+    own, rank = F.col("own"), F.col("rank")
+    part = lambda cond, c=own: F.when(cond, c).otherwise(0)
+    run = prefix_sums(pairs.withColumns({"numbers": part(rank == 0), "values": part(rank < 2)}), group, order, ["own", "prev"], ["numbers", "values", "prev"], ["own"])
+    valid, seen, total = (rank == 0) & ~F.col("outside"), own > 0, lambda c: F.col(f"{c}_total")
+    quantile = lambda q: F.min(F.when((rank == 0) & (F.col("own_upto") >= F.ceil(F.lit(q) * total("numbers"))), F.col("sort_num")))
+    apart = F.abs(F.col("own_upto") / total("values") - F.col("prev_upto") / total("prev"))
+    number_seen, text_seen = F.when(seen & (rank == 0), F.col("sort_num")), F.when(seen & (rank == 1), F.col("sort_text"))
+    whole = run.groupBy(*group).agg(
+        F.sum(own).alias("rows"), F.sum(part(rank == 2)).alias("missing_values"), F.count_if(seen & (rank < 2)).alias("distinct_values"), F.sum(part(rank == 0)).alias("numbers"), F.sum(part(F.col("wrong"))).alias("wrong_form"), F.sum(part(F.col("outside"))).alias("out_of_range"),
+        F.sum(part(valid)).alias("valid"), F.sum(F.when(valid & seen, own * F.col("sort_num"))).alias("sum_valid"), F.max(part(valid, F.col("own_here"))).alias("top_valid"), F.min(number_seen).alias("min_number"), *[quantile(q).alias(f"q{round(q * 100)}") for q in QUANTILES], F.max(number_seen).alias("max_number"),
+        F.min(text_seen).alias("min_text"), F.max(text_seen).alias("max_text"), F.max(F.when((rank < 2) & (total("values") > 0) & (total("prev") > 0), apart)).alias("ks_previous"),
+    ).filter("rows > 0")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return whole.select(
         "column_name", F.when(F.col("load_key") != -(2**63), F.col("load_key")).alias("load_id"), "rows", "missing_values", count("distinct_values"), count("numbers"), count("wrong_form"), count("out_of_range"), count("valid"),

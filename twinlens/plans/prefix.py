@@ -22,16 +22,22 @@ def place(df: DataFrame, keys: Sequence[str], parts: int | None = None, label: s
     return materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}), label)
 
 
-def prefix_sums(placed: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Adds ``<s>_upto`` to placed rows: the sum of s over the rows of the group up to this one, rows of equal order included.
+def prefix_sums(placed: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], totals: Sequence[str] = (), peers: Sequence[str] = ()) -> DataFrame:
+    """Adds to placed rows ``<s>_upto``, the sum of s over the rows of the group up to this one, rows of equal order included;
+    ``<t>_total``, the sum over the whole group; and ``<p>_here``, the sum over the group's rows of equal order.
 
     Along the order of a group ``_part`` must not fall. Rows of one group with equal order must be few and in one part.
     """
-    inside = Window.partitionBy("_part", *group).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_part", *group).agg(*[F.sum(s).alias(f"{s}_all") for s in sums]).select("_part", *group, *[F.coalesce(F.sum(f"{s}_all").over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
-    run = placed.withColumns({f"{s}_upto": F.sum(s).over(inside) for s in sums})
-    return run.join(offsets, ["_part", *group]).select(*placed.columns, *[(F.col(f"{s}_upto") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums])
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    upto, here = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow), inside.rangeBetween(Window.currentRow, Window.currentRow)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_part", *group).agg(*[F.sum(s).alias(s) for s in dict.fromkeys([*sums, *totals])])
+    # One row per part and group, so a window over a group holds at most as many rows as there are parts.
+    offsets = parts.select("_part", *group, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums], *[F.sum(t).over(whole).alias(f"{t}_total") for t in totals])
+    run = placed.withColumns({f"{s}_upto": F.sum(s).over(upto) for s in sums} | {f"{p}_here": F.sum(p).over(here) for p in peers})
+    joined = run.join(offsets.hint("merge"), ["_part", *group])  # the rows are sorted for this already
+    return joined.select(*placed.columns, *[(F.col(f"{s}_upto") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums], *[f"{t}_total" for t in totals], *[f"{p}_here" for p in peers])
 
 
 def range_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], parts: int | None = None, label: str = "range") -> DataFrame:
