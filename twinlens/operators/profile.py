@@ -23,6 +23,8 @@ from twinlens.functions.values import filled, number, truth
 from twinlens.plans.prefix import place, prefix_sums
 
 QUANTILES = (0.25, 0.5, 0.75)
+#: Up to so many loads (two numbers each) are broadcast; more are joined by shuffle.
+MAX_LOADS = 10_000
 
 
 @dataclass(frozen=True)
@@ -88,6 +90,8 @@ def profile(df: DataFrame, columns: Sequence[str], load: str, forms: Mapping[str
     runs = runs.withColumn("load_key", F.coalesce("load_id", F.lit(-(2**63))))
     loads = df.select(F.coalesce(F.col(f"`{load}`").cast("bigint"), F.lit(-(2**63))).alias("of_key")).distinct()
     follows = loads.withColumn("next_key", F.lead("of_key").over(Window.orderBy("of_key")))
+    if loads.limit(MAX_LOADS + 1).count() <= MAX_LOADS:
+        follows = F.broadcast(follows)
     # All loads together are range-sorted by column and value, each run once.
     ranked = runs.withColumns({"rank": F.when(F.col("value").isNull(), 2).when(F.col("num").isNull(), 1).otherwise(0), "sort_num": F.coalesce("num", F.lit(0.0)), "sort_text": F.when(F.col("num").isNull(), F.col("value"))})
     placed = place(ranked.drop("load_id", "value", "num"), ["column_name", "rank", "sort_num", "sort_text"], parts, "profile")

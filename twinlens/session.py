@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_shipped: set[str] = set()
 _written: list[str] = []
 
 
@@ -27,10 +30,26 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     }
     spark = b.config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per application, so that it need not be installed where they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        folder = tempfile.mkdtemp(prefix="twinlens-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        here = Path(__file__).parent
+        with zipfile.ZipFile(f"{folder}/twinlens-code.zip", "w") as out:
+            for file in sorted(here.rglob("*.py")):
+                out.write(file, file.relative_to(here.parent))
+        spark.sparkContext.addPyFile(f"{folder}/twinlens-code.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
