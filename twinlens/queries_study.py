@@ -12,6 +12,7 @@ from twinlens.functions import stats as S
 from twinlens.functions.text import join_distinct, slugify, stable_hash
 from twinlens.operators import analysis as A
 from twinlens.operators import audits, planning, updates
+from twinlens.operators import evaluator_audit as EA
 from twinlens.queries_analysis import rounded
 from twinlens.session import materialize, table
 
@@ -164,6 +165,26 @@ def evaluator_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.task_rows(table(spark, sf_dir, "label_rows")).select("ord", "label_uid", "evaluator_kind", "required_columns", "prompt_text", "prompt_chars")
 
 
+def evaluator_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "label_rows")
+    return EA.group_rows(rows, planning.task_rows(rows), planning.evaluator_batches(rows, 500))
+
+
+def evaluator_mapping_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EA.mapping_errors(table(spark, sf_dir, "label_rows"))
+
+
+def evaluator_task_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels against a task index that was planned before the last load."""
+    rows = table(spark, sf_dir, "label_rows")
+    return EA.task_errors(rows, planning.task_rows(rows.filter("load_id <= 3")))
+
+
+def evaluator_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "label_rows")
+    return EA.gates(rows, planning.task_rows(rows))
+
+
 def export_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planning.export_batch(table(spark, sf_dir, "label_rows"), 100, 50, kinds=("attribute_distribution_labeling",))
     return rows.select("ord", "label_uid", "evaluator_kind", "prompt_text")
@@ -216,7 +237,7 @@ QUERIES = {
     for f in (
         prompt_bank_audit, prompt_bank_histograms, conditions_by_benchmark, manifest_audit, label_audit, label_signal_gaps, pair_coverage, label_quality_by_group, label_quality_gates, rq_readiness, rq_readiness_summary,
         label_manifest_join, planned_cells, rq_design, dissociation_bridges, seed_compliance, power_cells, power_summary, experiment_gates, design_gates, generation_prompts, generation_prompts_first, generation_plan, job_summary,
-        label_template, shards, shards_by_model, evaluator_plan, evaluator_batches, evaluator_tasks, export_batch, preflight_jobs, prompt_summary, axis_summary, update_errors, update_validation, merged_updates, merged_labels,
+        label_template, shards, shards_by_model, evaluator_plan, evaluator_batches, evaluator_tasks, evaluator_groups, evaluator_mapping_errors, evaluator_task_errors, evaluator_gates, export_batch, preflight_jobs, prompt_summary, axis_summary, update_errors, update_validation, merged_updates, merged_labels,
         update_reliability, update_agreement, text_functions,
     )
 }
@@ -289,6 +310,7 @@ _VALUES = " union all ".join(
     + ["select ord, uid, 'behavior_label', v, null from bl"]
     + [f"select ord, {Q.text('label_uid')}, '{f}', case when {_NONAN(f)} is not null then 'n' end, {_MILLIONTHS(f)} from label_updates" for f in L.RANGES]
 )
+_SCHEMAS = "schemas as (select * from (values " + ", ".join(f"('{k}', {list(v)})" for k, v in L.KIND_OUTPUTS.items()) + ") as s(evaluator_kind, outputs))"
 
 SQL = {
     "prompt_bank_audit": """select count(*) as records, count(distinct coalesce(image_prompt_uid, '')) as unique_image_prompts, count(distinct coalesce(axis_id, '')) as axis_count, count(distinct coalesce(eval_uid, '')) as eval_uids, count(*) - count(distinct coalesce(eval_uid, '')) as duplicate_eval_uids,
@@ -346,6 +368,16 @@ i as (select evaluator_kind, benchmark, condition_type, batch_in_group, count(*)
 select row_number() over (order by first_ord) - 1 as batch_no, * from i""",
     "evaluator_tasks": f"""with {_RAW}, r as (select *, {_KIND} as kind, {_REQ} as req from raw)
 select ord, label_uid, kind as evaluator_kind, array_to_string(req, ',') as required_columns, case when {_IN("kind", L.PROMPT_KINDS)} and not {_IN("kind", L.SAFETY_KINDS)} then coalesce(prompt_text, '') else '<redacted>' end as prompt_text, length(coalesce(prompt_text, ''))::int as prompt_chars from r""",
+    "evaluator_groups": f"""with {_RAW}, r as (select *, {_KIND} as evaluator_kind, {_REQ} as req from raw)
+select benchmark, condition_type, evaluator_kind, count_if({Q.text("label_uid")} <> '') as label_rows, count(*) as task_index_rows, count(*) as batch_rows, array_to_string(list_sort(list_distinct(flatten(list(req)))), ',') as required_columns from r group by all""",
+    "evaluator_mapping_errors": f"""with {_RAW}, {_SCHEMAS}, r as (select *, {_KIND} as evaluator_kind, {_REQ} as req, {Q.text("label_uid")} as uid from raw), j as (select * from r left join schemas using (evaluator_kind)),
+e as (select 'missing label_uid' as error, count_if(uid = '') as rows from j union all select 'missing schema', count_if(uid <> '' and outputs is null) from j union all select 'required outputs missing from schema', count_if(uid <> '' and len(list_filter(req, lambda x: not list_contains(outputs, x))) > 0) from j
+  union all select 'quality_score not required', count_if(uid <> '' and not list_contains(req, 'quality_score')) from j union all select 'duplicate label_uid', count_if(uid <> '') - count(distinct uid) filter (uid <> '') from j)
+select * from e where rows > 0""",
+    "evaluator_task_errors": f"""with {_RAW}, r as (select ord, load_id, {Q.text("label_uid")} as uid, {_KIND} as kind, list_sort({_REQ}) as req from raw),
+w as (select uid, arg_max(kind, ord) as kind, arg_max(req, ord) as req from r where uid <> '' group by uid), h as (select uid, kind as hk, req as hr from r where load_id <= 3), f as (select * from h full join w using (uid)),
+e as (select 'label_uid absent from labels' as error, count_if(hk is not null and kind is null) as rows from f union all select 'label_uid absent from task index', count_if(hk is null) from f union all select 'evaluator_kind mismatch', count_if(hk <> kind) from f union all select 'required_columns mismatch', count_if(hr <> req) from f)
+select * from e where rows > 0""",
     "export_batch": f"""with {_RAW}, r as (select *, {_KIND} as kind from raw) select ord, label_uid, kind as evaluator_kind, '<redacted>' as prompt_text from r where kind = 'attribute_distribution_labeling' and ord >= 50 order by ord limit 100""",
     "preflight_jobs": """with f as (select coalesce(benchmark, '') as b, coalesce(condition_type, '') as c, image_prompt_uid, min(ord) as fo from prompt_bank where not coalesce(requires_valid_lineage, false) group by b, c, image_prompt_uid qualify row_number() over (partition by b, c order by fo) <= 2)
 select ord, job_id, model_id, image_prompt_uid, seed from generation_jobs semi join f using (image_prompt_uid) where seed = 101""",
