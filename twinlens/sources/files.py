@@ -138,3 +138,28 @@ def shard_table(spark: SparkSession, index: Mapping[str, Any]) -> DataFrame:
     """The shards of an index document as a table: shard, jobs, models."""
     rows = [(str(s.get("shard_id", k)), int(s.get("jobs", 0)), len(s.get("jobs_by_model", {}))) for k, s in enumerate(index.get("shards", []))]
     return spark.createDataFrame(rows, "shard string, jobs bigint, models int")
+
+
+BANK_SCHEMA = (
+    "eval_uid string, image_prompt_uid string, benchmark string, source string, source_path string, source_row_id string, prompt_text string, axis_id string, axis_name string, condition_type string, analysis_layers array<string>, "
+    "complexity_level string, target_behavior string, candidate_behaviors array<string>, evaluator string, requires_valid_lineage boolean, metadata string"
+)
+JOB_SCHEMA = (
+    "job_id string, model_id string, display_name string, family string, runner string, hf_model string, base_model string, checkpoint string, num_inference_steps int, guidance_scale double, device string, benchmark string, condition_type string, "
+    "image_prompt_uid string, eval_uids array<string>, seed int, prompt_text string, output_path string, requires_valid_lineage boolean, generation_kwargs string"
+)
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    """Prompt records from JSONL, or from Parquet that has ``ord``."""
+    return spark.read.parquet(path) if path.endswith(".parquet") else with_ord(placed(read_jsonl(spark, path, BANK_SCHEMA)))
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Generation jobs from JSONL, or from Parquet that has ``ord``."""
+    return spark.read.parquet(path) if path.endswith(".parquet") else with_ord(placed(read_jsonl(spark, path, JOB_SCHEMA)))
+
+
+def read_label_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Label rows from a CSV file, or from Parquet that has ``ord``."""
+    return spark.read.parquet(path) if path.endswith(".parquet") else read_labels(spark, path)
