@@ -14,6 +14,7 @@ from twinlens.functions import labels as L
 from twinlens.functions import stats as S
 from twinlens.functions.text import text
 from twinlens.plans.prefix import range_prefix, running_least
+from twinlens.session import materialize
 
 AXIS = ["benchmark", "axis_id", "condition_type"]
 CELL = [*AXIS, "image_prompt_uid", "seed", "eval_uid"]
@@ -105,7 +106,7 @@ def pairwise_shift(faced: DataFrame) -> DataFrame:
 def multiple_testing(df: DataFrame, p_field: str) -> DataFrame:
     """Bonferroni and Benjamini-Hochberg over all rows of a table. Ranks come from the counts of distinct p-values, so no task holds the table."""
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(p_field) | F.col(p_field).isNull(), 1.0).otherwise(F.col(p_field))))
-    df = df.withColumn(p_field, p)
+    df = materialize(df.withColumn(p_field, p), "tests")  # read three times below
     counts = df.groupBy(F.col(p_field).alias("p")).agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
     ranked = range_prefix(counts, ["all"], ["p"], ["n"], label="ranks")
     total = df.agg(F.count("*").alias("m"))

@@ -68,6 +68,8 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Writes a table in the shared folder and reads it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinlens-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_release_at_exit, spark)
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,6 +83,13 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the JVM is gone already
+        _written.clear()
+
+
 def width(spark: SparkSession) -> int:
     """Number of partitions for explicit repartitioning."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
