@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from twinlens.llm.text_forms import canonical_json, letters_and_digits
 from twinlens.plans.skew import join_groups
+from twinlens.session import materialize
 
 MARK = "␟"
 
@@ -73,7 +74,9 @@ def copy_groups(written: DataFrame, digest: str = "digest") -> DataFrame:
 
 def copies_of(written: DataFrame, digest: str = "digest") -> DataFrame:
     """One row for every record but the first of its group: first_key, key. Hot groups stay where they are."""
-    groups = copy_groups(written, digest).filter("copies > 1")
-    by_digest = join_groups(written.select(F.col(digest).alias("group_id"), "key"), groups.filter(~F.col("group_id").startswith("w:")), "group_id", "copies")
-    by_writing = join_groups(written.select(F.concat(F.lit("w:"), F.col("writing")).alias("group_id"), "key"), groups.filter(F.col("group_id").startswith("w:")), "group_id", "copies")
-    return by_digest.unionByName(by_writing).filter(F.col("key") != F.col("first_key")).select("first_key", "key")
+    groups = materialize(copy_groups(written, digest).filter("copies > 1"), "copies")
+    by_writing = F.col("group_id").startswith("w:")
+    out = join_groups(written.select(F.col(digest).alias("group_id"), "key"), groups.filter(~by_writing), "group_id", "copies")
+    if groups.filter(by_writing).limit(1).count():  # two writings under one digest, all but impossible
+        out = out.unionByName(join_groups(written.select(F.concat(F.lit("w:"), F.col("writing")).alias("group_id"), "key"), groups.filter(by_writing), "group_id", "copies"))
+    return out.filter(F.col("key") != F.col("first_key")).select("first_key", "key")

@@ -127,7 +127,27 @@ cast_votes as (
 standing as (select task, label_uid, lower(trim(evaluator, ' ')) as who, arg_max(label, ord) as label from cast_votes where trim(evaluator, ' ') <> '' group by all),
 tally as (select task, label_uid, label, count(*) as n from standing group by all)"""
 
+_NARROW = "array_to_string(list_transform(string_split(coalesce(prompt_text, ''), ''), lambda c: case when unicode(c) between 65281 and 65374 then chr(unicode(c) - 65248) else c end), '')"
+_WRITTEN = f"""with w as (select ord, benchmark, axis_id, metadata is null as no_meta, regexp_replace(lower(nfc_normalize({_NARROW})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g') as t,
+  case when json_valid(metadata) then list_transform(list_sort(json_keys(metadata)), lambda k: k || '=' || (metadata::json -> k)::varchar) else [metadata] end as m from prompt_bank)"""
+
 SQL = {
+    "p2_sample": rf"""
+with recursive keyed as (select coalesce(regexp_replace(lower(trim(condition_type, ' ')), '[\s\-]+', '_', 'g'), '') as stratum, image_prompt_uid as key, load_batch as lb from prompt_bank where image_prompt_uid is not null),
+c as (select stratum, key, min(lb) as fl, md5('1|' || key) as p from keyed group by all),
+loads as (select fl, row_number() over (order by fl) as idx from (select distinct fl from c)),
+led as (
+  select 0 as i, null::varchar as stratum, null::varchar as key, null::int as chosen
+  union all
+  select * from (
+    with prev as materialized (select * from led), nxt as (select idx as i, fl from loads where idx = (select max(i) + 1 from prev)),
+    seen as (select c.* from c, nxt where c.fl <= nxt.fl), need as (select stratum, ceil(round({SAMPLE_RATE} * count(*), 6)) - count(prev.key) as need from seen left join prev using (stratum, key) group by stratum),
+    ranked as (select stratum, key, row_number() over (partition by stratum order by p, key) as r from seen anti join prev using (stratum, key))
+    select nxt.i, prev.stratum, prev.key, prev.chosen from prev, nxt
+    union all select nxt.i, stratum, key, nxt.fl from ranked join need using (stratum), nxt where r <= need))
+select stratum as condition_type, key as image_prompt_uid, chosen as chosen_in from led where i = (select max(i) from led) and key is not null""",
+    "p4_found": f"{_WRITTEN}, g as (select *, min(ord) over (partition by benchmark, axis_id, no_meta, t, m) as first_ord from w) select first_ord, ord from g where ord <> first_ord",
+    "p4_records": f"{_WRITTEN} select min(ord) as first_ord, count(*) as copies from w group by benchmark, axis_id, no_meta, t, m",
     "p6_found": f"""
 with {_STANDING},
 items as (select label_uid, sum(n) as votes, max(n) as top, arg_max(label, n) as label, count(*) as labels from tally where task = 'semantic_label' group by all),
