@@ -123,3 +123,40 @@ def test_logs_joined_by_shuffle_give_the_same(spark, monkeypatch):
     want = {r["item"]: r["probability"] for r in C.consensus(df, 3, -1).items.collect()}
     monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", 0)
     assert {r["item"]: r["probability"] for r in C.consensus(df, 3, -1).items.collect()} == pytest.approx(want)
+
+
+def brute_all(votes, rounds):
+    """The same updates over all items and all labels of the task."""
+    labels = sorted({v[3] for v in votes})
+    by = defaultdict(list)
+    for _, i, a, label, _ in votes:
+        by[i].append((a, label))
+    q = {i: {k: sum(x == k for _, x in vs) / len(vs) for k in labels} for i, vs in by.items()}
+    for _ in range(rounds):
+        n, row, cls = Counter(), Counter(), Counter()
+        for i, vs in by.items():
+            for k in labels:
+                cls[k] += q[i][k]
+                for a, x in vs:
+                    n[a, k, x] += q[i][k]
+                    row[a, k] += q[i][k]
+        prior = lambda k, x: C.RIGHT_PRIOR if x == k else C.WRONG_PRIOR / max(1, len(labels) - 1)
+        log = {(a, k, x): digamma(n[a, k, x] + prior(k, x)) - digamma(row[a, k] + C.RIGHT_PRIOR + C.WRONG_PRIOR) for a, k, x in n}
+        for i, vs in by.items():
+            s = {k: digamma(cls[k] + C.CLASS_PRIOR) + sum(log[a, k, x] for a, x in vs) for k in labels}
+            top = max(s.values())
+            z = sum(math.exp(v - top) for v in s.values())
+            q[i] = {k: math.exp(v - top) / z for k, v in s.items()}
+    return q
+
+
+@pytest.mark.parametrize("most", [C.MAX_BROADCAST_ROWS, 0])
+def test_unvoted_labels_and_single_votes_are_iterated(spark, monkeypatch, most):
+    _, votes = simulated(60)
+    votes += [("t", f"single{k}", "worse", "a", 1000 + k) for k in range(3)]
+    monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", most)
+    items = {r["item"]: r for r in C.consensus(spark.createDataFrame(votes, VOTES), 3, -1, unvoted=True).items.collect()}
+    q = brute_all(votes, 3)
+    assert {i: r["probability"] for i, r in items.items()} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=1e-9)
+    assert all(q[i][r["consensus"]] == pytest.approx(r["probability"]) for i, r in items.items())
+    assert items["single0"]["probability"] < 0.9

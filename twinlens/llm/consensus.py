@@ -6,20 +6,23 @@ own. Dirichlet priors lie on the class shares and on every annotator's row of
 every class, with more weight on the right label. In turn, expected counts are
 summed by group-bys and turned into expected logarithms by digamma, and the
 items' class probabilities follow from the sums of those over their votes.
-The true class of an item is taken to be one of the labels voted for it; so
-items with one label have it for certain, enter the counts once, and only
-contested items are iterated.
+With ``unvoted`` the true class of an item may be any label of its task, and
+every item is iterated, those with one vote too; items with the same votes are
+computed once. Without it, it is taken to be one of the labels voted for the
+item, so that items with one label have it for certain.
 
 Only the last of several votes of an annotator on an item stands (greatest
 ``ord``; of equal ones the greatest label). Votes without item, annotator or
-label are none. Single votes and unanimous items keep their label. Equal
-probabilities are resolved towards more votes, then the smaller label. Empty
+label are none. Equal probabilities are resolved towards more votes, then the smaller label. Empty
 tables give empty results. Tasks (different label columns) are kept apart.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import warnings
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +32,20 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.values import filled, number
 from twinlens.plans.skew import join_groups
-from twinlens.session import materialize
+from twinlens.session import materialize, width
 
 #: Prior votes: per class, on an annotator's right label, and on all wrong labels together.
 CLASS_PRIOR, RIGHT_PRIOR, WRONG_PRIOR = 1.0, 4.0, 1.0
-#: The rounds end when the mean of the squared class probabilities of contested items moves by less.
-MAX_ROUNDS, TOLERANCE = 12, 1e-3
+#: The rounds of a task end when no class probability of any item moves by more from one round to the next; this is looked at every few rounds.
+MAX_ROUNDS, TOLERANCE, CHECK_EVERY = 12, 1e-3, 5
 #: Up to so many rows (about 100 bytes each) the expected logarithms are broadcast; beyond that they are joined by shuffle, hot ones apart.
 MAX_BROADCAST_ROWS = 100_000
+#: Up to so many (annotator, label, class) the model is held as arrays; beyond that as tables.
+MAX_CELLS = 8_000_000
+#: Votes whose class probabilities are computed at once.
+CHUNK_VOTES = 20_000
+#: Probabilities as near as this are equal.
+EQUAL = 1e-12
 
 
 def compared(c: Column) -> Column:
@@ -88,46 +97,220 @@ def _split(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tally, totals.select("task", "item", "votes", "labels", F.col("m.label").alias("majority_label"), "majority_votes")
 
 
-def consensus(votes: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, level: float = 0.95, settled_votes: int = 3) -> Consensus:
-    """Runs the model over votes (task, item, annotator, label, ord)."""
+def consensus(votes: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, level: float = 0.95, settled_votes: int = 3, unvoted: bool = False) -> Consensus:
+    """Runs the model over votes (task, item, annotator, label, ord); unvoted: an item's class may be a label of its task that nobody voted for it."""
     votes = materialize(standing(votes), "votes")
     tally, totals = _split(votes)
     totals = materialize(totals, "totals")
     item = ["task", "item"]
-    contested = totals.filter("labels > 1").select(*item)
-    sure = votes.join(totals.filter("labels = 1").select(*item), item, "left_semi")
-    # Unanimous items have their class for certain: their counts are summed once.
+    cells = votes.select("task", "annotator", "label").distinct().limit(MAX_BROADCAST_ROWS + 1).toPandas()
+    fits = len(cells) <= MAX_BROADCAST_ROWS and (cells["task"].map(cells.groupby("task")["label"].nunique()).sum() if len(cells) else 0) <= MAX_CELLS
+    best, rates, rounds = (_by_arrays(votes, cells, max_rounds, tolerance, unvoted) if fits else _by_tables(votes, tally, totals, max_rounds, tolerance, unvoted))
+    items = totals.join(best, item, "left").select(*item, F.coalesce("class", "majority_label").alias("consensus"), F.coalesce("probability", F.lit(1.0)).alias("probability"), "votes", "labels", "majority_label", "majority_votes")
+    settled = totals.filter((F.col("votes") >= settled_votes) & (2 * F.col("majority_votes") > F.col("votes"))).select(*item, "majority_label")
+    on_settled = votes.join(settled, item).groupBy("task", "annotator").agg(F.count("*").alias("settled_votes"), F.count_if(F.col("label") == F.col("majority_label")).alias("settled_right"))
+    cast = votes.groupBy("task", "annotator").agg(F.count("*").alias("votes"))
+    annotators = cast.join(rates, ["task", "annotator"]).join(on_settled, ["task", "annotator"], "left").withColumn("interval", _interval(level)("right", F.col("all") - F.col("right")))
+    annotators = annotators.select(
+        "task", "annotator", "votes", F.col("right").alias("expected_right"), ((F.col("right") + RIGHT_PRIOR) / (F.col("all") + RIGHT_PRIOR + WRONG_PRIOR)).alias("reliability"), F.col("interval.low").alias("reliability_low"), F.col("interval.high").alias("reliability_high"),
+        F.coalesce("settled_votes", F.lit(0)).alias("settled_votes"), F.coalesce("settled_right", F.lit(0)).alias("settled_right"),
+    )
+    return Consensus(items, annotators, agreement(tally), rounds)
+
+
+def _unfinished(rounds: int, tolerance: float) -> None:
+    if tolerance >= 0:
+        warnings.warn(f"consensus: class probabilities still move by more than {tolerance} after {rounds} rounds", stacklevel=3)
+
+
+@dataclass(frozen=True)
+class _Task:
+    """A task's model: per cell (annotator, label) its annotator and label; expected logarithms per cell and class, and per class. No logarithms: vote shares stand for probabilities."""
+
+    first: int
+    who: np.ndarray
+    label: np.ndarray
+    classes: list[str]
+    logs: np.ndarray | None = None
+    shares: np.ndarray | None = None
+    before: tuple[np.ndarray, np.ndarray] | None = None
+
+    def held(self, cell: np.ndarray, row: np.ndarray, starts: np.ndarray, unvoted: bool, before: bool = False) -> np.ndarray:
+        """Class probabilities per row of votes."""
+        logs, shares = self.before if before else (self.logs, self.shares)
+        if logs is None:
+            return self.voted(cell, row, len(starts)) / np.diff(np.append(starts, len(cell)))[:, None]
+        s = np.add.reduceat(logs[cell], starts, axis=0) + shares
+        if not unvoted:
+            s = np.where(self.voted(cell, row, len(starts)) > 0, s, -np.inf)
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def voted(self, cell: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        k = len(self.classes)
+        return np.bincount(row * k + self.label[cell], minlength=rows * k).reshape(rows, k)
+
+    def moved(self, counts: np.ndarray, classes: np.ndarray) -> _Task:
+        """The model after a round's expected counts."""
+        k = len(self.classes)
+        prior = np.full(counts.shape, WRONG_PRIOR / max(k - 1, 1))
+        prior[np.arange(len(self.label)), self.label] = RIGHT_PRIOR
+        row = np.zeros((self.who.max() + 1, k))
+        np.add.at(row, self.who, counts)
+        logs = _digamma(counts + prior) - _digamma(row + RIGHT_PRIOR + WRONG_PRIOR)[self.who]
+        return _Task(self.first, self.who, self.label, self.classes, logs, _digamma(classes + CLASS_PRIOR))
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    steps = sum((1 / (x + k) for k in range(1, 8)), 1 / x)
+    z = 1 / (y * y)
+    return np.log(y) - 1 / (2 * y) - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240))) - steps
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per task and up to about CHUNK_VOTES votes: task number, rows, and their cells with the row of each and the start of each row."""
+    for no, rows in batch.groupby("no", sort=False):
+        sizes = rows["cells"].map(len).to_numpy()
+        part = np.cumsum(sizes) // CHUNK_VOTES
+        for p in np.unique(part):
+            some, n = rows[part == p], sizes[part == p]
+            yield int(no), some, np.concatenate(some["cells"].to_list()), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+
+
+def _by_arrays(votes: DataFrame, cells: pd.DataFrame, max_rounds: int, tolerance: float, unvoted: bool) -> tuple[DataFrame, DataFrame, int]:
+    """(task, item, class, probability; task, annotator, right, all; rounds): every worker has the whole model, items are read in every round."""
+    spark = votes.sparkSession
+    cells = cells.sort_values(["task", "annotator", "label"], ignore_index=True)
+    names, tasks = sorted(set(cells["task"])), {}
+    for no, name in enumerate(names):
+        mine = cells[cells["task"] == name]
+        classes = sorted(set(mine["label"]))
+        place = {c: k for k, c in enumerate(classes)}
+        tasks[no] = _Task(mine.index[0], mine["annotator"].factorize()[0], mine["label"].map(place).to_numpy(), classes)
+    numbered = cells.assign(no=cells["task"].map({n: k for k, n in enumerate(names)}).astype("int32"), cell=cells.index.astype("int32"))
+    numbered = spark.createDataFrame(numbered, "task string, annotator string, label string, no int, cell int")
+    per_item = votes.join(F.broadcast(numbered), ["task", "annotator", "label"]).groupBy("task", "no", "item").agg(F.sort_array(F.collect_list("cell")).alias("cells"))  # one vote per annotator and item
+    per_item = materialize(per_item, "cells")
+    alike = materialize(per_item.groupBy("no", "cells").agg(F.count("*").alias("n")), "alike")
+    # Each part sends counts as large as the model, so it gets several times as many votes.
+    parts = max(1, min(width(spark), int(alike.agg(F.sum(F.size("cells"))).first()[0] or 0) // (4 * max(len(cells), 1))))
+    alike = materialize(alike.repartition(parts), "alike")
+    moving, rounds, result = dict(tasks), 0, {}
+    for rounds in range(max_rounds + 1):
+        look = rounds > 1 and (rounds % CHECK_EVERY == 0 or rounds == max_rounds)
+        found = _round(alike, moving, unvoted, look)
+        for no, (counts, classes, change) in found.items():
+            result[no] = counts
+            if look and change <= tolerance:
+                moving.pop(no)
+                continue
+            if rounds < max_rounds:
+                m = tasks[no]
+                after = m.moved(counts, classes)
+                ahead = rounds + 1
+                keep = ahead > 1 and (ahead % CHECK_EVERY == 0 or ahead == max_rounds)
+                tasks[no] = moving[no] = _Task(after.first, after.who, after.label, after.classes, after.logs, after.shares, (m.logs, m.shares) if keep else None)
+        if not moving:
+            break
+    else:
+        _unfinished(rounds, tolerance)
+    rates = [(names[no], a, float(r), float(t)) for no, m in tasks.items() for a, r, t in _right(m, result[no], cells)]
+    model = spark.sparkContext.broadcast(tasks)
+
+    def likeliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for no, rows, cell, row, starts in _chunks(batch):
+                m = model.value[no]
+                cell = cell - m.first
+                q = m.held(cell, row, starts, unvoted)
+                most = q.max(axis=1, keepdims=True)
+                pick = np.where(q >= most - EQUAL, m.voted(cell, row, len(starts)), -1).argmax(axis=1)
+                yield pd.DataFrame({"task": rows["task"].to_numpy(), "item": rows["item"].to_numpy(), "class": [m.classes[k] for k in pick], "probability": most[:, 0]})
+
+    best = per_item.mapInPandas(likeliest, "task string, item string, class string, probability double")
+    return best, spark.createDataFrame(rates, "task string, annotator string, right double, all double"), rounds
+
+
+def _right(task: _Task, counts: np.ndarray, cells: pd.DataFrame) -> list[tuple[str, float, float]]:
+    mine = cells.iloc[task.first : task.first + len(task.who)]
+    right = np.bincount(task.who, counts[np.arange(len(task.label)), task.label])
+    every = np.bincount(task.who, counts.sum(axis=1))
+    return list(zip(mine["annotator"].drop_duplicates(), right, every, strict=True))
+
+
+def _round(alike: DataFrame, tasks: Mapping[int, _Task], unvoted: bool, look: bool) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per task the expected counts per cell and class and per class under its model, and the largest change of a class probability."""
+    model = alike.sparkSession.sparkContext.broadcast(dict(tasks))
+
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = {}
+        for batch in batches:
+            for no, rows, cell, row, starts in _chunks(batch):
+                m = model.value[no]
+                cell = cell - m.first
+                if no not in out:
+                    out[no] = [np.zeros((len(m.who), len(m.classes))), np.zeros(len(m.classes)), 0.0]
+                q = m.held(cell, row, starts, unvoted)
+                if look:
+                    out[no][2] = max(out[no][2], float(np.abs(q - m.held(cell, row, starts, unvoted, True)).max()))
+                q *= rows["n"].to_numpy()[:, None]
+                order = np.argsort(cell, kind="stable")
+                which, first = np.unique(cell[order], return_index=True)
+                out[no][0][which] += np.add.reduceat(q[row[order]], first, axis=0)
+                out[no][1] += q.sum(axis=0)
+        if out:
+            yield pd.DataFrame({"no": list(out), "counts": [pickle.dumps(v) for v in out.values()]})
+
+    given: dict[int, list] = {}
+    for r in alike.filter(F.col("no").isin(*tasks) if tasks else F.lit(False)).mapInPandas(expect, "no int, counts binary").collect():
+        counts, classes, change = pickle.loads(r["counts"])
+        if r["no"] in given:
+            had = given[r["no"]]
+            had[0] += counts
+            had[1] += classes
+            had[2] = max(had[2], change)
+        else:
+            given[r["no"]] = [counts, classes, change]
+    model.destroy()
+    return {no: tuple(v) for no, v in given.items()}
+
+
+def _by_tables(votes: DataFrame, tally: DataFrame, totals: DataFrame, max_rounds: int, tolerance: float, unvoted: bool) -> tuple[DataFrame, DataFrame, int]:
+    """The same for a model of any size: joins and group-bys only."""
+    item = ["task", "item"]
+    contested = totals.filter(F.lit(unvoted) | (F.col("labels") > 1)).select(*item)
+    # Without unvoted labels, unanimous items have their class for certain: their counts are summed once.
+    certain = totals.filter(~F.lit(unvoted) & (F.col("labels") == 1))
+    sure = votes.join(certain.select(*item), item, "left_semi")
     sure_counts = materialize(sure.groupBy("task", "annotator", F.col("label").alias("class"), "label").agg(F.count("*").cast("double").alias("n")), "sure")
-    sure_classes = materialize(totals.filter("labels = 1").groupBy("task", F.col("majority_label").alias("class")).agg(F.count("*").cast("double").alias("n")), "sureclass")
-    open_tally = materialize(tally.join(contested, item, "left_semi"), "tally")
+    sure_classes = materialize(certain.groupBy("task", F.col("majority_label").alias("class")).agg(F.count("*").cast("double").alias("n")), "sureclass")
+    open_tally = tally.join(contested, item, "left_semi").withColumnRenamed("label", "class")
+    if unvoted:
+        every = totals.select(*item).join(votes.select("task", F.col("label").alias("class")).distinct(), "task")
+        open_tally = every.join(open_tally, [*item, "class"], "left").fillna(0, ["n"])
+    open_tally = materialize(open_tally, "tally")
     open_votes = votes.join(contested, item, "left_semi")
-    pairs = materialize(open_votes.join(open_tally.select(*item, F.col("label").alias("class")), item), "pairs")  # every vote with every class of its item
+    pairs = materialize(open_votes.join(open_tally.select(*item, "class"), item), "pairs")  # every vote with every class of its item
     sizes = votes.groupBy("task").agg(F.countDistinct("label").cast("double").alias("k"))
-    held = open_tally.join(totals.select(*item, "votes"), item).select(*item, F.col("label").alias("class"), (F.col("n") / F.col("votes")).alias("q"))
+    held = open_tally.join(totals.select(*item, "votes"), item).select(*item, "class", (F.col("n") / F.col("votes")).alias("q"))
     held = materialize(held, "q")
-    last, rounds = None, 0
+    rounds = 0
     for rounds in range(1, max_rounds + 1):
         counts, classes = _expected_counts(pairs, held, sure_counts, sure_classes)
         logs = materialize(_row_logs(counts, sizes), "logs")
         shares = classes.select("task", "class", digamma(F.col("n") + CLASS_PRIOR).alias("class_log"))
-        held = materialize(_responsibilities(pairs, logs, shares), "q")
-        mark = held.agg(F.sum(F.col("q") * F.col("q")), F.count("*")).first()
-        if last is not None and abs(mark[0] - last) <= tolerance * max(1, mark[1]) or not mark[1]:
-            break
-        last = mark[0]
+        before, held = held, materialize(_responsibilities(pairs, logs, shares), "q")
+        if rounds % CHECK_EVERY == 0 or rounds == max_rounds:
+            change = held.join(before.withColumnRenamed("q", "p"), [*item, "class"]).agg(F.max(F.abs(F.col("q") - F.col("p")))).first()[0]
+            if change is None or change <= tolerance:
+                break
+    else:
+        _unfinished(rounds, tolerance)
     counts, _ = _expected_counts(pairs, held, sure_counts, sure_classes)
-    best = held.join(open_tally.withColumnRenamed("label", "class"), [*item, "class"]).groupBy(*item).agg(F.min(F.struct((-F.col("q")).alias("q"), (-F.col("n")).alias("n"), "class")).alias("b"))
-    items = totals.join(best, item, "left").select(*item, F.coalesce("b.class", "majority_label").alias("consensus"), F.coalesce(-F.col("b.q"), F.lit(1.0)).alias("probability"), "votes", "labels", "majority_label", "majority_votes")
-    settled = totals.filter((F.col("votes") >= settled_votes) & (2 * F.col("majority_votes") > F.col("votes"))).select(*item, "majority_label")
-    on_settled = votes.join(settled, item).groupBy("task", "annotator").agg(F.count("*").alias("settled_votes"), F.count_if(F.col("label") == F.col("majority_label")).alias("settled_right"))
     rates = counts.groupBy("task", "annotator").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("class") == F.col("label"), F.col("n")).otherwise(0.0)).alias("right"))
-    cast = votes.groupBy("task", "annotator").agg(F.count("*").alias("votes"))
-    annotators = cast.join(rates, ["task", "annotator"]).join(on_settled, ["task", "annotator"], "left").withColumn("interval", _interval(level)("right", F.col("all") - F.col("right")))
-    annotators = annotators.select(
-        "task", "annotator", "votes", F.col("right").alias("expected_right"), ((F.col("right") + RIGHT_PRIOR) / (F.col("all") + RIGHT_PRIOR + WRONG_PRIOR)).alias("reliability"), F.col("interval.low").alias("reliability_low"), F.col("interval.high").alias("reliability_high"),
-        F.coalesce("settled_votes", F.lit(0)).alias("settled_votes"), F.coalesce("settled_right", F.lit(0)).alias("settled_right"),
-    )
-    return Consensus(items, annotators, agreement(tally), rounds)
+    best = held.join(open_tally, [*item, "class"]).groupBy(*item).agg(F.min(F.struct((-F.col("q")).alias("q"), (-F.col("n")).alias("n"), "class")).alias("b"))
+    return best.select(*item, "b.class", (-F.col("b.q")).alias("probability")), rates, rounds
 
 
 def _expected_counts(pairs: DataFrame, held: DataFrame, sure_counts: DataFrame, sure_classes: DataFrame) -> tuple[DataFrame, DataFrame]:

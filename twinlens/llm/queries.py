@@ -47,7 +47,7 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _consensus(spark: SparkSession, sf_dir: str, *tasks: str) -> C.Consensus:
-    return C.consensus(C.update_votes(table(spark, sf_dir, "label_updates"), tasks or ("semantic_label", "pass_score", "quality_score")))
+    return C.consensus(C.update_votes(table(spark, sf_dir, "label_updates"), tasks or ("semantic_label", "pass_score", "quality_score")), unvoted=True)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
