@@ -160,3 +160,14 @@ def test_unvoted_labels_and_single_votes_are_iterated(spark, monkeypatch, most):
     assert {i: r["probability"] for i, r in items.items()} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=1e-9)
     assert all(q[i][r["consensus"]] == pytest.approx(r["probability"]) for i, r in items.items())
     assert items["single0"]["probability"] < 0.9
+
+
+def test_rounds_go_on_until_no_probability_moves(spark):
+    rng, votes = random.Random(5), []
+    for i in range(80):
+        truth = rng.choice("abcd")
+        for who, p in {"w1": 0.4, "w2": 0.35, "w3": 0.3}.items():
+            votes.append(("t", f"i{i}", who, truth if rng.random() < p else rng.choice("abcd"), len(votes)))
+    items = {r["item"]: r for r in C.consensus(spark.createDataFrame(votes, VOTES), unvoted=True).items.collect()}
+    q = brute_all(votes, 400)
+    assert {i: r["probability"] for i, r in items.items()} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=5e-3)

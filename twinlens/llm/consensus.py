@@ -20,10 +20,9 @@ tables give empty results. Tasks (different label columns) are kept apart.
 from __future__ import annotations
 
 import math
-import pickle
 import warnings
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,13 +36,15 @@ from twinlens.session import materialize, width
 #: Prior votes: per class, on an annotator's right label, and on all wrong labels together.
 CLASS_PRIOR, RIGHT_PRIOR, WRONG_PRIOR = 1.0, 4.0, 1.0
 #: The rounds of a task end when no class probability of any item moves by more from one round to the next; this is looked at every few rounds.
-MAX_ROUNDS, TOLERANCE, CHECK_EVERY = 12, 1e-3, 5
+MAX_ROUNDS, TOLERANCE, CHECK_EVERY = 2000, 1e-4, 5
 #: Up to so many rows (about 100 bytes each) the expected logarithms are broadcast; beyond that they are joined by shuffle, hot ones apart.
 MAX_BROADCAST_ROWS = 100_000
 #: Up to so many (annotator, label, class) the model is held as arrays; beyond that as tables.
 MAX_CELLS = 8_000_000
 #: Votes whose class probabilities are computed at once.
 CHUNK_VOTES = 20_000
+#: Cells whose logarithms or counts are handled at once on the driver.
+BLOCK_CELLS = 1000
 #: Probabilities as near as this are equal.
 EQUAL = 1e-12
 
@@ -153,11 +154,14 @@ class _Task:
     def moved(self, counts: np.ndarray, classes: np.ndarray) -> _Task:
         """The model after a round's expected counts."""
         k = len(self.classes)
-        prior = np.full(counts.shape, WRONG_PRIOR / max(k - 1, 1))
-        prior[np.arange(len(self.label)), self.label] = RIGHT_PRIOR
         row = np.zeros((self.who.max() + 1, k))
         np.add.at(row, self.who, counts)
-        logs = _digamma(counts + prior) - _digamma(row + RIGHT_PRIOR + WRONG_PRIOR)[self.who]
+        row, logs = _digamma(row + RIGHT_PRIOR + WRONG_PRIOR), np.empty_like(counts)
+        for at in range(0, len(logs), BLOCK_CELLS):
+            here = slice(at, at + BLOCK_CELLS)
+            block, label = counts[here] + WRONG_PRIOR / max(k - 1, 1), self.label[here]
+            block[np.arange(len(label)), label] = counts[here][np.arange(len(label)), label] + RIGHT_PRIOR
+            logs[here] = _digamma(block) - row[self.who[here]]
         return _Task(self.first, self.who, self.label, self.classes, logs, _digamma(classes + CLASS_PRIOR))
 
 
@@ -193,8 +197,8 @@ def _by_arrays(votes: DataFrame, cells: pd.DataFrame, max_rounds: int, tolerance
     per_item = votes.join(F.broadcast(numbered), ["task", "annotator", "label"]).groupBy("task", "no", "item").agg(F.sort_array(F.collect_list("cell")).alias("cells"))  # one vote per annotator and item
     per_item = materialize(per_item, "cells")
     alike = materialize(per_item.groupBy("no", "cells").agg(F.count("*").alias("n")), "alike")
-    # Each part sends counts as large as the model, so it gets several times as many votes.
-    parts = max(1, min(width(spark), int(alike.agg(F.sum(F.size("cells"))).first()[0] or 0) // (4 * max(len(cells), 1))))
+    # Each part sends counts as large as the model, so it gets many times as many votes; the driver holds all of them at once.
+    parts = max(1, min(width(spark), int(alike.agg(F.sum(F.size("cells"))).first()[0] or 0) // (16 * max(len(cells), 1))))
     alike = materialize(alike.repartition(parts), "alike")
     moving, rounds, result = dict(tasks), 0, {}
     for rounds in range(max_rounds + 1):
@@ -216,7 +220,7 @@ def _by_arrays(votes: DataFrame, cells: pd.DataFrame, max_rounds: int, tolerance
     else:
         _unfinished(rounds, tolerance)
     rates = [(names[no], a, float(r), float(t)) for no, m in tasks.items() for a, r, t in _right(m, result[no], cells)]
-    model = spark.sparkContext.broadcast(tasks)
+    model = spark.sparkContext.broadcast({no: replace(m, before=None) for no, m in tasks.items()})
 
     def likeliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,19 +263,18 @@ def _round(alike: DataFrame, tasks: Mapping[int, _Task], unvoted: bool, look: bo
                 which, first = np.unique(cell[order], return_index=True)
                 out[no][0][which] += np.add.reduceat(q[row[order]], first, axis=0)
                 out[no][1] += q.sum(axis=0)
-        if out:
-            yield pd.DataFrame({"no": list(out), "counts": [pickle.dumps(v) for v in out.values()]})
-
-    given: dict[int, list] = {}
-    for r in alike.filter(F.col("no").isin(*tasks) if tasks else F.lit(False)).mapInPandas(expect, "no int, counts binary").collect():
-        counts, classes, change = pickle.loads(r["counts"])
-        if r["no"] in given:
-            had = given[r["no"]]
-            had[0] += counts
-            had[1] += classes
-            had[2] = max(had[2], change)
-        else:
-            given[r["no"]] = [counts, classes, change]
+        for no, (counts, classes, change) in out.items():
+            for at in range(0, len(counts), BLOCK_CELLS):
+                yield pd.DataFrame({"no": [no], "at": [at], "counts": [counts[at : at + BLOCK_CELLS].tobytes()], "classes": [classes.tobytes() if at == 0 else b""], "change": [change]})
+
+    given = {no: [np.zeros((len(m.who), len(m.classes))), np.zeros(len(m.classes)), 0.0] for no, m in tasks.items()}
+    for r in alike.filter(F.col("no").isin(*tasks) if tasks else F.lit(False)).mapInPandas(expect, "no int, at int, counts binary, classes binary, change double").collect():
+        had = given[r["no"]]
+        block = np.frombuffer(r["counts"]).reshape(-1, had[0].shape[1])
+        had[0][r["at"] : r["at"] + len(block)] += block
+        if r["at"] == 0:
+            had[1] += np.frombuffer(r["classes"])
+        had[2] = max(had[2], r["change"])
     model.destroy()
     return {no: tuple(v) for no, v in given.items()}
 
