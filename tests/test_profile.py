@@ -1,7 +1,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from tests.compare import both
+from twinlens import queries_core
 from twinlens.operators.profile import Form, bad_cells, departures, profile
 
 SCHEMA = "ord bigint, load_id int, v string, column_name string, num string"
@@ -54,3 +57,20 @@ def test_departures(spark):
     few = [(5, "9")] * 19
     found = departures(profile(rows_of(spark, good + shifted + sticky + gaps + few), ["v"], "load_id", FORMS), base)
     assert sorted(r["load_id"] for r in found.collect()) == [2, 3, 4]
+
+
+def test_every_column_of_label_rows_is_profiled(spark, sf_dir):
+    rows = queries_core.table(spark, sf_dir, "label_rows")
+    got, want = both(spark, sf_dir, queries_core.p1_profile, queries_core.SQL["p1_profile"])
+    out = queries_core.p1_profile(spark, sf_dir).filter("column_name in ('ord', 'load_id')").collect()
+    assert not want - got
+    assert len(got) - len(want) == len(out)
+    per_load = {r["load_id"]: r for r in rows.groupBy("load_id").agg(F.count("*").alias("n"), F.countDistinct("ord").alias("d"), F.min("ord").alias("low"), F.max("ord").alias("high")).collect()}
+    assert {(r["load_id"], r["rows"], r["distinct_values"], r["min_number"], r["max_number"]) for r in out if r["column_name"] == "ord"} == {(k, r["n"], r["d"], r["low"], r["high"]) for k, r in per_load.items()}
+    assert {(r["load_id"], r["min_number"], r["wrong_form"]) for r in out if r["column_name"] == "load_id"} == {(k, k, 0) for k in per_load}
+
+
+def test_candidate_lists_have_a_form(spark):
+    values = ["[]", '["a", "b\\"c"]', "a|b", '["a"', "[a]", '{"a": 1}', "", None]
+    r = profile(rows_of(spark, [(1, v) for v in values]), ["v"], "load_id", {"v": queries_core.PROFILE_FORMS["candidate_behaviors"]}).first()
+    assert r["wrong_form"] == 3

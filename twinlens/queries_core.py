@@ -18,6 +18,9 @@ FORMS = {
     "seed": P.Form(pattern="[0-9]+"), "semantic_label_confidence": P.Form("number", 0.0, 1.0), "pass_score": P.Form("number", 0.0, 1.0), "quality_score": P.Form("number", 1.0, 5.0),
     "memorization_score": P.Form("number", 0.0, 1.0), "refusal": P.Form("truth"), "unsafe": P.Form("truth"),
 }
+_STRING = r'"(?:[^"\\]|\\.)*"'
+#: Forms of the profile: those above (which the SQL shares), and those of the other columns that have one. Timestamps are typed and cannot be of wrong form.
+PROFILE_FORMS = FORMS | {"ord": P.Form(pattern="[0-9]+"), "load_id": P.Form(pattern="[0-9]+"), "candidate_behaviors": P.Form(pattern=rf"\s*\[\s*(?:{_STRING}\s*(?:,\s*{_STRING}\s*)*)?\]\s*|[^\[{{].*")}
 BASELINE_COLUMNS = ("quality_score", "semantic_label_confidence", "memorization_score")
 
 
@@ -31,7 +34,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.profile(table(spark, sf_dir, "label_rows"), LABEL_COLUMNS, "load_id", FORMS)
+    """Every column of the table, ``ord`` and ``load_id`` too. The SQL has the columns of LABEL_COLUMNS only."""
+    rows = table(spark, sf_dir, "label_rows")
+    out = P.profile(rows, rows.columns, "load_id", PROFILE_FORMS)
     return out.withColumns({c: F.round(c, 9) for c in ("mean_valid", "ks_previous")})
 
 
