@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from twinlens import pipeline
+from twinlens import pipeline, queries_study
 from twinlens.operators import audits, planning, report
 from twinlens.session import table
 
@@ -95,3 +95,11 @@ def test_update_stream(spark, sf_dir, tmp_path):
         store_updates(read_update_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == table(spark, sf_dir, "label_updates").select("label_uid").distinct().count()
     assert event_rates(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).count() > 0
+
+
+def test_task_index_holds_all_loads_before_the_last(spark, sf_dir):
+    rows = table(spark, sf_dir, "label_rows").filter("trim(label_uid) <> ''")
+    last = rows.agg(F.max("load_id")).first()[0]
+    late = rows.groupBy("label_uid").agg(F.min("load_id").alias("first")).filter(F.col("first") == last).count()
+    assert late > 0
+    assert {r["error"]: r["rows"] for r in queries_study.evaluator_task_errors(spark, sf_dir).collect()}["label_uid absent from task index"] == late
