@@ -52,3 +52,9 @@ def test_tables(spark):
 
 def test_edits():
     assert [M.edits(a, b, 3) for a, b in (("", "ab"), ("abc", "acb"), ("abc", "abc"), ("kitten", "sitting"), ("a", "abcdef"))] == [2, 1, 0, 3, 4]
+
+
+def test_split_names_are_found_in_long_texts():
+    m = M.Matcher([("view", 1, ["extreme_closeup"])])
+    for filler in (10, 60):
+        assert m.match("view", "word " * filler + "extr eme clo seup") == 1

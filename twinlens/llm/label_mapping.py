@@ -119,8 +119,8 @@ class Matcher:
         if len("".join(telling)) < 3:
             return UNMATCHED
         best: dict[int, float] = {}
-        windows = [toks[i:j] for i in range(len(toks)) for j in range(i + 1, min(i + 5, len(toks)) + 1)] if len(toks) <= 40 else [toks[i : i + n] for n in (1, 2, 3) for i in range(len(toks) - n + 1)]
-        windows = [w for w in windows if any(t in telling for t in w)]
+        windows, told = [toks[i:j] for i in range(len(toks)) for j in range(i + 1, min(i + 5, len(toks)) + 1)], set(telling)
+        windows = [w for w in windows if any(t in told for t in w)]
         if telling != list(toks) and len(telling) <= 5:
             windows.append(telling)
         for entry, name, letters in self.names[group]:
