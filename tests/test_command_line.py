@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from tests.test_sources import put
+from twinlens import __main__ as command_line
 from twinlens.__main__ import COMMANDS, main
 
 CONFIG = {
@@ -41,3 +44,18 @@ def test_chain_of_files(spark, tmp_path, capsys):
     put(t, "events.jsonl", '{"shard": "s0", "job_id": "j", "status": "success"}\n')
     assert [q["device"] for q in run("plan-generation-queue", "--index", f"{t}/index.json", "--events", f"{t}/events.jsonl", "--gpus", "0", "1")] == ["cuda:0", "cuda:1"]
     assert len(COMMANDS) >= 20
+
+
+def test_results_are_whole_or_fail(spark, tmp_path, capsys, monkeypatch):
+    t = str(tmp_path)
+    put(t, "labels.csv", "label_uid,benchmark,condition_type\n" + "".join(f"u{k},b,c{k % 5}\n" for k in range(20)))
+    put(t, "index.json", {"shards": [{"shard_id": f"s{k}", "jobs": 1} for k in range(5)]})
+    put(t, "events.jsonl", '{"shard": "s0", "job_id": "j", "status": "x"}\n')
+    monkeypatch.setattr(command_line, "MAX_PRINTED", 3)
+    for args in (["plan-evaluator-batches", "--labels", f"{t}/labels.csv"], ["plan-generation-queue", "--index", f"{t}/index.json", "--events", f"{t}/events.jsonl", "--limit", "5"]):
+        with pytest.raises(ValueError, match="more than 3 rows"):
+            main(args, spark)
+        capsys.readouterr()
+        assert main([*args, "--out", f"{t}/out"], spark) == 0
+        assert json.loads(capsys.readouterr().out)["rows"] == 5
+        assert spark.read.option("header", True).csv(f"{t}/out").count() == 5

@@ -17,6 +17,8 @@ from twinlens.operators import audits, evaluator_audit, planning, report, update
 from twinlens.session import local_session, materialize, ship
 from twinlens.sources import benchmarks, files
 
+#: Rows of a result that is printed.
+MAX_PRINTED = 10_000
 COMMANDS: dict[str, tuple[Callable[..., Any], tuple[str, ...]]] = {}
 
 
@@ -29,8 +31,20 @@ def command(*options: str):
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
-    """A small result: reports and summaries, at most 10,000 rows."""
-    return [r.asDict(recursive=True) for r in df.limit(10_000).collect()]
+    """A small result, printed: reports and summaries; too many rows are an error."""
+    rows = df.limit(MAX_PRINTED + 1).collect()
+    if len(rows) > MAX_PRINTED:
+        raise ValueError(f"more than {MAX_PRINTED} rows to print")
+    return [r.asDict(recursive=True) for r in rows]
+
+
+def _listed(df: DataFrame, path: str | None, order: str) -> Any:
+    """A result of any size: a CSV file at the path, of which the number of rows is printed; without a path it is printed itself."""
+    if not path:
+        return _rows(df.orderBy(order))
+    df = materialize(df, "listed")
+    files.write_csv(df.orderBy(order), path, df.columns)
+    return {"rows": df.count(), "out": path}
 
 
 def _pairs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -74,11 +88,11 @@ def build_label_template(spark, a):
     files.write_csv(rows.orderBy("job_ord", "record_ord"), a.out, rows.drop("job_ord", "record_ord").columns)
 
 
-@command("jobs", "out", "size", "by_model")
+@command("jobs", "out", "size", "by_model", "index_out")
 def split_manifest(spark, a):
     sharded = materialize(planning.assign_shards(files.read_jobs(spark, a.jobs), a.size, a.by_model), "shards")
     planning.write_shards(sharded, a.out)
-    return _rows(planning.shard_index(sharded).orderBy("shard"))
+    return _listed(planning.shard_index(sharded), a.index_out, "shard")
 
 
 @command("labels", "out")
@@ -88,9 +102,9 @@ def build_evaluator_plan(spark, a):
     return _rows(planning.evaluator_plan(rows))
 
 
-@command("labels", "size")
+@command("labels", "size", "out")
 def plan_evaluator_batches(spark, a):
-    return _rows(planning.evaluator_batches(files.read_label_rows(spark, a.labels), a.size).orderBy("batch_no"))
+    return _listed(planning.evaluator_batches(files.read_label_rows(spark, a.labels), a.size), a.out, "batch_no")
 
 
 @command("labels", "out", "limit", "start", "benchmarks")
@@ -174,10 +188,10 @@ def run_post_label_pipeline(spark, a):
     return pipeline.post_label(files.read_bank(spark, a.bank), files.read_jobs(spark, a.jobs), files.read_label_rows(spark, a.labels), _pairs(spark, a), C.seed_policy(spark, conf), C.expected_benchmarks(conf), conf.get("default_device", ""), _default_seeds(conf), given, a.out)
 
 
-@command("config", "bank")
+@command("config", "bank", "out")
 def summarize_prompt_bank(spark, a):
     conf, bank = C.load_config(a.config), files.read_bank(spark, a.bank)
-    return {"benchmarks": _rows(planning.benchmark_summary(bank, C.seed_policy(spark, conf), _models(spark, conf, a.scope).count())), "axes": _rows(planning.axis_summary(bank))}
+    return {"benchmarks": _rows(planning.benchmark_summary(bank, C.seed_policy(spark, conf), _models(spark, conf, a.scope).count())), "axes": _listed(planning.axis_summary(bank), a.out, "axis_id")}
 
 
 @command("index", "events")
@@ -187,11 +201,11 @@ def summarize_generation_progress(spark, a):
     return _rows(planning.shard_progress(shards, files.read_jsonl(spark, a.events, "shard string, job_id string, status string")))
 
 
-@command("index", "events", "gpus", "limit")
+@command("index", "events", "gpus", "limit", "out")
 def plan_generation_queue(spark, a):
     shards = files.shard_table(spark, files.read_document(a.index))
     progress = planning.shard_progress(shards, files.read_jsonl(spark, a.events, "shard string, job_id string, status string"))
-    return _rows(planning.queue_shards(progress, gpus=a.gpus, most=a.limit).orderBy("queue_no"))
+    return _listed(planning.queue_shards(progress, gpus=a.gpus, most=a.limit), a.out, "queue_no")
 
 
 _OPTIONS: dict[str, dict[str, Any]] = {
