@@ -41,12 +41,11 @@ MAX_ROUNDS, TOLERANCE, CHECK_EVERY = 2000, 1e-4, 5
 MAX_BROADCAST_ROWS = 100_000
 #: Up to so many (annotator, label, class) the model is held as arrays; beyond that as tables.
 MAX_CELLS = 8_000_000
-#: Votes whose class probabilities are computed at once.
-CHUNK_VOTES = 20_000
-#: Cells whose logarithms or counts are handled at once on the driver.
-BLOCK_CELLS = 1000
-#: Probabilities as near as this are equal.
-EQUAL = 1e-12
+#: Votes whose class probabilities are computed at once, votes in a task of a round, and partial counts sent to the driver.
+CHUNK_VOTES, PART_VOTES, FAN_IN = 20_000, 100_000, 16
+#: Probabilities as near as this are equal. A class whose score is this far below an item's best is left out (a probability under 1e-13).
+EQUAL, NEGLIGIBLE = 1e-12, 30.0
+POSTERIOR = "task string, item string, class string, probability double, class_votes bigint, chosen boolean, votes bigint, labels bigint, majority_label string, majority_votes bigint"
 
 
 def compared(c: Column) -> Column:
@@ -81,15 +80,20 @@ def standing(votes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Consensus:
-    """items: task, item, consensus, probability, votes, labels, majority_label, majority_votes.
+    """posterior: task, item, class, probability, class_votes, chosen, votes, labels, majority_label, majority_votes; per item the voted classes and the chosen one.
+    items: task, item, consensus, probability, votes, labels, majority_label, majority_votes.
     annotators: task, annotator, votes, expected_right, reliability, reliability_low, reliability_high, settled_votes, settled_right.
     agreement: task, items, votes, alpha_nominal, alpha_interval (Krippendorff; the latter where labels are numbers)."""
 
-    items: DataFrame
+    posterior: DataFrame
     annotators: DataFrame
     agreement: DataFrame
     rounds: int
 
+    @property
+    def items(self) -> DataFrame:
+        return self.posterior.filter("chosen").select("task", "item", F.col("class").alias("consensus"), "probability", "votes", "labels", "majority_label", "majority_votes")
+
 
 def _split(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per item and label the votes, and per item its totals and majority."""
@@ -102,12 +106,10 @@ def consensus(votes: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float =
     """Runs the model over votes (task, item, annotator, label, ord); unvoted: an item's class may be a label of its task that nobody voted for it."""
     votes = materialize(standing(votes), "votes")
     tally, totals = _split(votes)
-    totals = materialize(totals, "totals")
     item = ["task", "item"]
     cells = votes.select("task", "annotator", "label").distinct().limit(MAX_BROADCAST_ROWS + 1).toPandas()
     fits = len(cells) <= MAX_BROADCAST_ROWS and (cells["task"].map(cells.groupby("task")["label"].nunique()).sum() if len(cells) else 0) <= MAX_CELLS
-    best, rates, rounds = (_by_arrays(votes, cells, max_rounds, tolerance, unvoted) if fits else _by_tables(votes, tally, totals, max_rounds, tolerance, unvoted))
-    items = totals.join(best, item, "left").select(*item, F.coalesce("class", "majority_label").alias("consensus"), F.coalesce("probability", F.lit(1.0)).alias("probability"), "votes", "labels", "majority_label", "majority_votes")
+    posterior, rates, rounds = (_by_arrays(votes, cells, max_rounds, tolerance, unvoted) if fits else _by_tables(votes, tally, materialize(totals, "totals"), max_rounds, tolerance, unvoted))
     settled = totals.filter((F.col("votes") >= settled_votes) & (2 * F.col("majority_votes") > F.col("votes"))).select(*item, "majority_label")
     on_settled = votes.join(settled, item).groupBy("task", "annotator").agg(F.count("*").alias("settled_votes"), F.count_if(F.col("label") == F.col("majority_label")).alias("settled_right"))
     cast = votes.groupBy("task", "annotator").agg(F.count("*").alias("votes"))
@@ -116,7 +118,7 @@ def consensus(votes: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float =
         "task", "annotator", "votes", F.col("right").alias("expected_right"), ((F.col("right") + RIGHT_PRIOR) / (F.col("all") + RIGHT_PRIOR + WRONG_PRIOR)).alias("reliability"), F.col("interval.low").alias("reliability_low"), F.col("interval.high").alias("reliability_high"),
         F.coalesce("settled_votes", F.lit(0)).alias("settled_votes"), F.coalesce("settled_right", F.lit(0)).alias("settled_right"),
     )
-    return Consensus(items, annotators, agreement(tally), rounds)
+    return Consensus(posterior, annotators, agreement(tally), rounds)
 
 
 def _unfinished(rounds: int, tolerance: float) -> None:
@@ -124,66 +126,106 @@ def _unfinished(rounds: int, tolerance: float) -> None:
         warnings.warn(f"consensus: class probabilities still move by more than {tolerance} after {rounds} rounds", stacklevel=3)
 
 
+def _digamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    steps = sum((1 / (x + k) for k in range(1, 8)), 1 / x)
+    z = 1 / (y * y)
+    return np.log(y) - 1 / (2 * y) - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240))) - steps
+
+
 @dataclass(frozen=True)
 class _Task:
-    """A task's model: per cell (annotator, label) its annotator and label; expected logarithms per cell and class, and per class. No logarithms: vote shares stand for probabilities."""
+    """A task: the annotator and label of each of its cells (annotator, label), its classes, and as keys the (cell, class) that can be expected at all, cell x classes + class."""
 
     first: int
     who: np.ndarray
     label: np.ndarray
     classes: list[str]
-    logs: np.ndarray | None = None
-    shares: np.ndarray | None = None
-    before: tuple[np.ndarray, np.ndarray] | None = None
-
-    def held(self, cell: np.ndarray, row: np.ndarray, starts: np.ndarray, unvoted: bool, before: bool = False) -> np.ndarray:
-        """Class probabilities per row of votes."""
-        logs, shares = self.before if before else (self.logs, self.shares)
-        if logs is None:
-            return self.voted(cell, row, len(starts)) / np.diff(np.append(starts, len(cell)))[:, None]
-        s = np.add.reduceat(logs[cell], starts, axis=0) + shares
-        if not unvoted:
-            s = np.where(self.voted(cell, row, len(starts)) > 0, s, -np.inf)
-        e = np.exp(s - s.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    def voted(self, cell: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        k = len(self.classes)
-        return np.bincount(row * k + self.label[cell], minlength=rows * k).reshape(rows, k)
+    keys: np.ndarray | None = None
+
+    @property
+    def far(self) -> float:
+        """The most that a class outside the keys can score at an item, its class's share apart: one of the votes has no expected count under it."""
+        none, row = _digamma(np.array([WRONG_PRIOR / max(len(self.classes) - 1, 1), RIGHT_PRIOR + WRONG_PRIOR]))
+        return float(none - row)
 
-    def moved(self, counts: np.ndarray, classes: np.ndarray) -> _Task:
-        """The model after a round's expected counts."""
+    def supported(self) -> np.ndarray:
+        out = np.zeros(len(self.who) * len(self.classes), dtype=bool)
+        out[self.keys] = True
+        return out.reshape(len(self.who), len(self.classes))
+
+    def logs(self, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected logarithms per key and per class after a round's expected counts."""
         k = len(self.classes)
-        row = np.zeros((self.who.max() + 1, k))
-        np.add.at(row, self.who, counts)
-        row, logs = _digamma(row + RIGHT_PRIOR + WRONG_PRIOR), np.empty_like(counts)
-        for at in range(0, len(logs), BLOCK_CELLS):
-            here = slice(at, at + BLOCK_CELLS)
-            block, label = counts[here] + WRONG_PRIOR / max(k - 1, 1), self.label[here]
-            block[np.arange(len(label)), label] = counts[here][np.arange(len(label)), label] + RIGHT_PRIOR
-            logs[here] = _digamma(block) - row[self.who[here]]
-        return _Task(self.first, self.who, self.label, self.classes, logs, _digamma(classes + CLASS_PRIOR))
+        cell, to = np.divmod(self.keys, k)
+        row = self.who[cell] * k + to
+        rows = _digamma(np.bincount(row, counts) + RIGHT_PRIOR + WRONG_PRIOR)
+        prior = np.where(self.label[cell] == to, RIGHT_PRIOR, WRONG_PRIOR / max(k - 1, 1))
+        return _digamma(counts + prior) - rows[row], _digamma(classes + CLASS_PRIOR)
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    y = x + 8
-    steps = sum((1 / (x + k) for k in range(1, 8)), 1 / x)
-    z = 1 / (y * y)
-    return np.log(y) - 1 / (2 * y) - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240))) - steps
+@dataclass(frozen=True)
+class _Items:
+    """Rows of votes (items, or sets of items with the same votes) and their possible classes as flat arrays.
+
+    Pairs are (row, class), in order of row; entries are (pair, vote of the row), in order of pair.
+    """
+
+    weight: np.ndarray
+    pairs: np.ndarray
+    to: np.ndarray
+    votes: np.ndarray
+    given: np.ndarray
+    key: np.ndarray
+
+    def held(self, model: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, float]:
+        """Class probability of each pair, and the lowest score of a row's best class, class shares apart. Without a model, vote shares."""
+        if model is None:
+            return self.given / self.votes, math.inf
+        logs, shares = model
+        s = np.add.reduceat(logs[self.key], np.cumsum(self.votes) - self.votes) + shares[self.to]
+        at = np.cumsum(self.pairs) - self.pairs
+        most = np.maximum.reduceat(s, at)
+        e = np.exp(s - np.repeat(most, self.pairs))
+        return e / np.repeat(np.add.reduceat(e, at), self.pairs), float(most.min() - shares.max())
 
 
-def _chunks(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per task and up to about CHUNK_VOTES votes: task number, rows, and their cells with the row of each and the start of each row."""
+_FLAT = {"weight": np.float64, "pairs": np.int32, "to": np.int32, "votes": np.int32, "given": np.int32, "key": np.int32}
+
+
+def _chunks(batch: pd.DataFrame, tasks: Mapping[int, _Task]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per task and up to about CHUNK_VOTES votes: task number, rows, their cells in the task, and the number and the start of each row's."""
     for no, rows in batch.groupby("no", sort=False):
         sizes = rows["cells"].map(len).to_numpy()
         part = np.cumsum(sizes) // CHUNK_VOTES
         for p in np.unique(part):
             some, n = rows[part == p], sizes[part == p]
-            yield int(no), some, np.concatenate(some["cells"].to_list()), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            yield int(no), some, np.concatenate(some["cells"].to_list()) - tasks[int(no)].first, n, np.cumsum(n) - n
+
+
+def _voted(task: _Task, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Votes per row and class."""
+    k = len(task.classes)
+    return np.bincount(np.repeat(np.arange(len(n)), n) * k + task.label[cell], minlength=len(n) * k).reshape(-1, k)
+
+
+def _items(task: _Task, supported: np.ndarray, weight: np.ndarray, cell: np.ndarray, n: np.ndarray, starts: np.ndarray, unvoted: bool) -> _Items:
+    """A class is possible for a row if every vote of the row can be expected under it."""
+    voted = _voted(task, cell, n)
+    row, to = np.nonzero(np.logical_and.reduceat(supported[cell], starts, axis=0) if unvoted else voted)
+    votes = n[row]
+    entry = np.arange(votes.sum()) - np.repeat(np.cumsum(votes) - votes, votes) + np.repeat(starts[row], votes)
+    key = np.searchsorted(task.keys, cell[entry].astype(np.int64) * len(task.classes) + np.repeat(to, votes))
+    return _Items(weight, np.bincount(row, minlength=len(n)), to, votes, voted[row, to], key)
 
 
 def _by_arrays(votes: DataFrame, cells: pd.DataFrame, max_rounds: int, tolerance: float, unvoted: bool) -> tuple[DataFrame, DataFrame, int]:
-    """(task, item, class, probability; task, annotator, right, all; rounds): every worker has the whole model, items are read in every round."""
+    """(posterior; task, annotator, right, all; rounds): every worker has the whole model, items are read in every round.
+
+    A class is left out for an item if a voter's label there was never given where anybody voted for the class: it starts with no
+    expected count and stays below e^-NEGLIGIBLE of the item's best class. That bound is checked in every round; where it fails,
+    or would with few classes, a task is run with all its classes for all items.
+    """
     spark = votes.sparkSession
     cells = cells.sort_values(["task", "annotator", "label"], ignore_index=True)
     names, tasks = sorted(set(cells["task"])), {}
@@ -194,91 +236,179 @@ def _by_arrays(votes: DataFrame, cells: pd.DataFrame, max_rounds: int, tolerance
         tasks[no] = _Task(mine.index[0], mine["annotator"].factorize()[0], mine["label"].map(place).to_numpy(), classes)
     numbered = cells.assign(no=cells["task"].map({n: k for k, n in enumerate(names)}).astype("int32"), cell=cells.index.astype("int32"))
     numbered = spark.createDataFrame(numbered, "task string, annotator string, label string, no int, cell int")
-    per_item = votes.join(F.broadcast(numbered), ["task", "annotator", "label"]).groupBy("task", "no", "item").agg(F.sort_array(F.collect_list("cell")).alias("cells"))  # one vote per annotator and item
+    per_item = votes.join(F.broadcast(numbered), ["task", "annotator", "label"]).groupBy("no", "item").agg(F.sort_array(F.collect_list("cell")).alias("cells"))  # one vote per annotator and item
     per_item = materialize(per_item, "cells")
-    alike = materialize(per_item.groupBy("no", "cells").agg(F.count("*").alias("n")), "alike")
-    # Each part sends counts as large as the model, so it gets many times as many votes; the driver holds all of them at once.
-    parts = max(1, min(width(spark), int(alike.agg(F.sum(F.size("cells"))).first()[0] or 0) // (16 * max(len(cells), 1))))
-    alike = materialize(alike.repartition(parts), "alike")
-    moving, rounds, result = dict(tasks), 0, {}
-    for rounds in range(max_rounds + 1):
-        look = rounds > 1 and (rounds % CHECK_EVERY == 0 or rounds == max_rounds)
-        found = _round(alike, moving, unvoted, look)
-        for no, (counts, classes, change) in found.items():
-            result[no] = counts
-            if look and change <= tolerance:
-                moving.pop(no)
-                continue
-            if rounds < max_rounds:
-                m = tasks[no]
-                after = m.moved(counts, classes)
-                ahead = rounds + 1
-                keep = ahead > 1 and (ahead % CHECK_EVERY == 0 or ahead == max_rounds)
-                tasks[no] = moving[no] = _Task(after.first, after.who, after.label, after.classes, after.logs, after.shares, (m.logs, m.shares) if keep else None)
-        if not moving:
-            break
-    else:
-        _unfinished(rounds, tolerance)
-    rates = [(names[no], a, float(r), float(t)) for no, m in tasks.items() for a, r, t in _right(m, result[no], cells)]
-    model = spark.sparkContext.broadcast({no: replace(m, before=None) for no, m in tasks.items()})
+    parts = max(1, min(width(spark), -(-int(per_item.agg(F.sum(F.size("cells"))).first()[0] or 0) // PART_VOTES)))
+    alike = materialize(per_item.groupBy("no", "cells").agg(F.count("*").alias("n")).repartition(parts), "alike")
+    start = _start(alike, tasks)
+    whole = {no for no, m in tasks.items() if unvoted and m.far > -2 * NEGLIGIBLE}
+    fits: dict[int, _Fit] = {}
+    while left := [no for no in tasks if no not in fits]:
+        for no in left:
+            n = start[no][0]
+            tasks[no] = replace(tasks[no], keys=np.arange(len(n)) if no in whole else np.flatnonzero(n))
+        now = {no: tasks[no] for no in left}
+        first = {no: (start[no][0][m.keys], start[no][1]) for no, m in now.items()}
+        fits |= _fitted(_flat(alike, now, unvoted), parts, now, first, max_rounds, tolerance, whole if unvoted else set(now))
+        whole |= set(left)
+    rounds = max((f.rounds for f in fits.values()), default=0)
+    rates = [(names[no], a, float(r), float(t)) for no, m in tasks.items() for a, r, t in _right(m, fits[no].counts, cells)]
+    return _posterior(per_item, names, tasks, fits, unvoted), spark.createDataFrame(rates, "task string, annotator string, right double, all double"), rounds
 
-    def likeliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for no, rows, cell, row, starts in _chunks(batch):
-                m = model.value[no]
-                cell = cell - m.first
-                q = m.held(cell, row, starts, unvoted)
-                most = q.max(axis=1, keepdims=True)
-                pick = np.where(q >= most - EQUAL, m.voted(cell, row, len(starts)), -1).argmax(axis=1)
-                yield pd.DataFrame({"task": rows["task"].to_numpy(), "item": rows["item"].to_numpy(), "class": [m.classes[k] for k in pick], "probability": most[:, 0]})
 
-    best = per_item.mapInPandas(likeliest, "task string, item string, class string, probability double")
-    return best, spark.createDataFrame(rates, "task string, annotator string, right double, all double"), rounds
+def _right(task: _Task, counts: np.ndarray, cells: pd.DataFrame) -> list[tuple[str, float, float]]:
+    """Per annotator the expected number of right votes and of all."""
+    cell, to = np.divmod(task.keys, len(task.classes))
+    who = task.who[cell]
+    right = np.bincount(who, np.where(task.label[cell] == to, counts, 0.0))
+    return list(zip(cells["annotator"].iloc[task.first : task.first + len(task.who)].drop_duplicates(), right, np.bincount(who, counts), strict=True))
 
 
-def _right(task: _Task, counts: np.ndarray, cells: pd.DataFrame) -> list[tuple[str, float, float]]:
-    mine = cells.iloc[task.first : task.first + len(task.who)]
-    right = np.bincount(task.who, counts[np.arange(len(task.label)), task.label])
-    every = np.bincount(task.who, counts.sum(axis=1))
-    return list(zip(mine["annotator"].drop_duplicates(), right, every, strict=True))
+@dataclass(frozen=True)
+class _Fit:
+    model: tuple[np.ndarray, np.ndarray] | None
+    counts: np.ndarray
+    rounds: int
 
 
-def _round(alike: DataFrame, tasks: Mapping[int, _Task], unvoted: bool, look: bool) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Per task the expected counts per cell and class and per class under its model, and the largest change of a class probability."""
+def _start(alike: DataFrame, tasks: Mapping[int, _Task]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per task the counts per (cell, class) and per class when vote shares stand for probabilities; only those that occur leave the workers."""
     model = alike.sparkSession.sparkContext.broadcast(dict(tasks))
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for no, rows, cell, n, _ in _chunks(batch, model.value):
+                m, weight = model.value[no], rows["n"].to_numpy(float)
+                k = len(m.classes)
+                voted = _voted(m, cell, n)
+                row, to = np.nonzero(voted)
+                q = voted[row, to] / n[row] * weight[row]
+                per_row = np.bincount(row, minlength=len(n))
+                times = np.repeat(per_row, n)  # classes that each vote meets
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(np.repeat(np.cumsum(per_row) - per_row, n), times)
+                keys, place = np.unique(np.repeat(cell, times).astype(np.int64) * k + to[at], return_inverse=True)
+                yield pd.DataFrame({"no": [no], "keys": [keys.tobytes()], "counts": [np.bincount(place, q[at]).tobytes()], "classes": [np.bincount(to, q, minlength=k).tobytes()]})
+
+    given = {no: (np.zeros(len(m.who) * len(m.classes)), np.zeros(len(m.classes))) for no, m in tasks.items()}
+    for r in alike.mapInPandas(count, "no int, keys binary, counts binary, classes binary").toLocalIterator():
+        counts, classes = given[r["no"]]
+        counts[np.frombuffer(r["keys"], np.int64)] += np.frombuffer(r["counts"])
+        classes += np.frombuffer(r["classes"])
+    model.destroy()
+    return given
+
+
+def _flat(alike: DataFrame, tasks: Mapping[int, _Task], unvoted: bool) -> DataFrame:
+    """The items as flat arrays, one row per chunk; written once and read in every round."""
+    model = alike.sparkSession.sparkContext.broadcast(dict(tasks))
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        supported = {no: m.supported() for no, m in model.value.items()}
+        for batch in batches:
+            for no, rows, cell, n, starts in _chunks(batch[batch["no"].isin(list(supported))], model.value):
+                items = _items(model.value[no], supported[no], rows["n"].to_numpy(float), cell, n, starts, unvoted)
+                yield pd.DataFrame({"no": [no]} | {name: [getattr(items, name).astype(kind).tobytes()] for name, kind in _FLAT.items()})
+
+    return materialize(alike.mapInPandas(lay, "no int, " + ", ".join(f"{name} binary" for name in _FLAT)), "flat")
+
+
+def _fitted(flat: DataFrame, parts: int, tasks: Mapping[int, _Task], counts: dict[int, tuple[np.ndarray, np.ndarray]], max_rounds: int, tolerance: float, whole: set[int]) -> dict[int, _Fit]:
+    """The tasks whose rounds ended; those that broke the bound are left out."""
+    models: dict[int, tuple[np.ndarray, np.ndarray] | None] = dict.fromkeys(tasks)
+    moving, fits = set(tasks), {}
+    if max_rounds == 0:
+        return {no: _Fit(None, counts[no][0], 0) for no in tasks}
+    for rounds in range(1, max_rounds + 1):
+        look = rounds > 1 and (rounds % CHECK_EVERY == 0 or rounds == max_rounds)
+        before = {no: models[no] for no in moving}
+        models |= {no: tasks[no].logs(*counts[no]) for no in moving}
+        for no, (n, classes, change, least) in _round(flat, parts, {no: (tasks[no], models[no], before[no] if look else None) for no in moving}).items():
+            counts[no] = n, classes
+            if no not in whole and least < tasks[no].far + NEGLIGIBLE:
+                moving.discard(no)
+            elif rounds == max_rounds or (look and change <= tolerance):
+                if change > tolerance:
+                    _unfinished(rounds, tolerance)
+                fits[no] = _Fit(models[no], n, rounds)
+                moving.discard(no)
+        if not moving:
+            break
+    return fits
+
+
+def _round(flat: DataFrame, parts: int, models: Mapping[int, tuple]) -> dict[int, tuple[np.ndarray, np.ndarray, float, float]]:
+    """Per task the expected counts per key and per class, the largest change of a probability, and the lowest score of an item's best class."""
+    model = flat.sparkSession.sparkContext.broadcast(dict(models))
+    columns = ["no", "counts", "classes", "change", "least"]
+
+    def add(out: dict, no: int, counts: np.ndarray, classes: np.ndarray, change: float, least: float) -> None:
+        if no not in out:
+            out[no] = [np.zeros(len(counts)), np.zeros(len(classes)), 0.0, math.inf]
+        has = out[no]
+        has[0] += counts
+        has[1] += classes
+        has[2], has[3] = max(has[2], change), min(has[3], least)
+
+    def rows(out: dict) -> Iterator[pd.DataFrame]:
+        for no, (counts, classes, change, least) in out.items():
+            yield pd.DataFrame([(no, counts.tobytes(), classes.tobytes(), change, least)], columns=columns)
+
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = {}
+        out: dict = {}
         for batch in batches:
-            for no, rows, cell, row, starts in _chunks(batch):
-                m = model.value[no]
-                cell = cell - m.first
-                if no not in out:
-                    out[no] = [np.zeros((len(m.who), len(m.classes))), np.zeros(len(m.classes)), 0.0]
-                q = m.held(cell, row, starts, unvoted)
-                if look:
-                    out[no][2] = max(out[no][2], float(np.abs(q - m.held(cell, row, starts, unvoted, True)).max()))
-                q *= rows["n"].to_numpy()[:, None]
-                order = np.argsort(cell, kind="stable")
-                which, first = np.unique(cell[order], return_index=True)
-                out[no][0][which] += np.add.reduceat(q[row[order]], first, axis=0)
-                out[no][1] += q.sum(axis=0)
-        for no, (counts, classes, change) in out.items():
-            for at in range(0, len(counts), BLOCK_CELLS):
-                yield pd.DataFrame({"no": [no], "at": [at], "counts": [counts[at : at + BLOCK_CELLS].tobytes()], "classes": [classes.tobytes() if at == 0 else b""], "change": [change]})
-
-    given = {no: [np.zeros((len(m.who), len(m.classes))), np.zeros(len(m.classes)), 0.0] for no, m in tasks.items()}
-    for r in alike.filter(F.col("no").isin(*tasks) if tasks else F.lit(False)).mapInPandas(expect, "no int, at int, counts binary, classes binary, change double").collect():
-        had = given[r["no"]]
-        block = np.frombuffer(r["counts"]).reshape(-1, had[0].shape[1])
-        had[0][r["at"] : r["at"] + len(block)] += block
-        if r["at"] == 0:
-            had[1] += np.frombuffer(r["classes"])
-        had[2] = max(had[2], r["change"])
+            for r in batch.itertuples(index=False):
+                task, now, before = model.value[r.no]
+                items = _Items(**{name: np.frombuffer(getattr(r, name), kind) for name, kind in _FLAT.items()})
+                q, least = items.held(now)
+                change = float(np.abs(q - items.held(before)[0]).max()) if before else 0.0
+                q = q * np.repeat(items.weight, items.pairs)
+                add(out, r.no, np.bincount(items.key, np.repeat(q, items.votes), minlength=len(task.keys)), np.bincount(items.to, q, minlength=len(task.classes)), change, least)
+        yield from rows(out)
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict = {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                add(out, r.no, np.frombuffer(r.counts), np.frombuffer(r.classes), r.change, r.least)
+        yield from rows(out)
+
+    schema = "no int, counts binary, classes binary, change double, least double"
+    sums = flat.filter(F.col("no").isin(*models)).mapInPandas(expect, schema)
+    if parts > FAN_IN:  # the driver gets a few models, not one per part
+        sums = sums.repartition(FAN_IN).mapInPandas(combine, schema)
+    given: dict = {}
+    for r in sums.collect():
+        add(given, r["no"], np.frombuffer(r["counts"]), np.frombuffer(r["classes"]), r["change"], r["least"])
     model.destroy()
     return {no: tuple(v) for no, v in given.items()}
 
 
+def _posterior(per_item: DataFrame, names: list[str], tasks: Mapping[int, _Task], fits: Mapping[int, _Fit], unvoted: bool) -> DataFrame:
+    model = per_item.sparkSession.sparkContext.broadcast((dict(tasks), {no: f.model for no, f in fits.items()}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, models = model.value
+        supported = {no: m.supported() for no, m in of.items()}
+        for batch in batches:
+            for no, rows, cell, n, starts in _chunks(batch, of):
+                m = of[no]
+                items = _items(m, supported[no], np.ones(len(n)), cell, n, starts, unvoted)
+                q, _ = items.held(models[no])
+                row = np.repeat(np.arange(len(n)), items.pairs)
+                most = np.maximum.reduceat(q, np.cumsum(items.pairs) - items.pairs)
+                order = np.lexsort((items.to, -items.given, q < most[row] - EQUAL, row))
+                chosen = np.zeros(len(q), dtype=bool)
+                chosen[order[np.searchsorted(row[order], np.arange(len(n)))]] = True
+                kept = chosen | (items.given > 0)
+                row, voted, classes = row[kept], _voted(m, cell, n), np.array(m.classes, dtype=object)
+                yield pd.DataFrame({
+                    "task": names[no], "item": rows["item"].to_numpy()[row], "class": classes[items.to[kept]], "probability": q[kept], "class_votes": items.given[kept], "chosen": chosen[kept],
+                    "votes": n[row], "labels": (voted > 0).sum(axis=1)[row], "majority_label": classes[voted.argmax(axis=1)][row], "majority_votes": voted.max(axis=1)[row],
+                })
+
+    return per_item.mapInPandas(run, POSTERIOR)
+
+
 def _by_tables(votes: DataFrame, tally: DataFrame, totals: DataFrame, max_rounds: int, tolerance: float, unvoted: bool) -> tuple[DataFrame, DataFrame, int]:
     """The same for a model of any size: joins and group-bys only."""
     item = ["task", "item"]
@@ -312,8 +442,12 @@ def _by_tables(votes: DataFrame, tally: DataFrame, totals: DataFrame, max_rounds
         _unfinished(rounds, tolerance)
     counts, _ = _expected_counts(pairs, held, sure_counts, sure_classes)
     rates = counts.groupBy("task", "annotator").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("class") == F.col("label"), F.col("n")).otherwise(0.0)).alias("right"))
-    best = held.join(open_tally, [*item, "class"]).groupBy(*item).agg(F.min(F.struct((-F.col("q")).alias("q"), (-F.col("n")).alias("n"), "class")).alias("b"))
-    return best.select(*item, "b.class", (-F.col("b.q")).alias("probability")), rates, rounds
+    sure = certain.select(*item, F.col("majority_label").alias("class"), F.lit(1.0).alias("q"), F.col("votes").alias("n"))
+    each = held.join(open_tally, [*item, "class"]).select(*item, "class", "q", "n").unionByName(sure)
+    rank = F.struct((-F.col("q")).alias("q"), (-F.col("n")).alias("n"), "class")
+    each = each.withColumn("chosen", rank == F.min(rank).over(Window.partitionBy(*item))).filter("chosen or n > 0")  # one row per class of an item
+    posterior = each.join(totals, item).select(*item, "class", F.col("q").alias("probability"), F.col("n").alias("class_votes"), "chosen", "votes", "labels", "majority_label", "majority_votes")
+    return posterior, rates, rounds
 
 
 def _expected_counts(pairs: DataFrame, held: DataFrame, sure_counts: DataFrame, sure_classes: DataFrame) -> tuple[DataFrame, DataFrame]:

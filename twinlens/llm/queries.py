@@ -51,8 +51,9 @@ def _consensus(spark: SparkSession, sf_dir: str, *tasks: str) -> C.Consensus:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item cases are rows of the model's posterior, annotator cases rows of its reliabilities; the exact counts carried beside them then decide."""
     result = _consensus(spark, sf_dir, "semantic_label")
-    items = result.items.filter("votes >= 3 and 2 * majority_votes > votes and labels > 1").select(F.lit("item").alias("case_kind"), F.col("item").alias("case_key"), F.col("majority_label").alias("case_label"))
+    items = result.posterior.filter("votes >= 3 and 2 * class_votes > votes and labels > 1").select(F.lit("item").alias("case_kind"), F.col("item").alias("case_key"), F.col("class").alias("case_label"))
     doubtful = result.annotators.filter("settled_votes >= 10 and 10 * settled_right < 6 * settled_votes").select(F.lit("evaluator").alias("case_kind"), F.col("annotator").alias("case_key"), F.lit("").alias("case_label"))
     return items.unionByName(doubtful)
 
