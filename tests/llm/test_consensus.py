@@ -150,11 +150,14 @@ def brute_all(votes, rounds):
     return q
 
 
-@pytest.mark.parametrize("most", [C.MAX_BROADCAST_ROWS, 0])
-def test_unvoted_labels_and_single_votes_are_iterated(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "solo"), [(C.MAX_BROADCAST_ROWS, C.SOLO_BYTES), (C.MAX_BROADCAST_ROWS, 0), (0, 0)])
+def test_unvoted_labels_and_single_votes_are_iterated(spark, monkeypatch, most, solo):
     _, votes = simulated(60)
     votes += [("t", f"single{k}", "worse", "a", 1000 + k) for k in range(3)]
     monkeypatch.setattr(C, "MAX_BROADCAST_ROWS", most)
+    monkeypatch.setattr(C, "SOLO_BYTES", solo)
+    monkeypatch.setattr(C, "FAN_IN", 1)
+    monkeypatch.setattr(C, "PART_VOTES", 50)
     items = {r["item"]: r for r in C.consensus(spark.createDataFrame(votes, VOTES), 3, -1, unvoted=True).items.collect()}
     q = brute_all(votes, 3)
     assert {i: r["probability"] for i, r in items.items()} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=1e-9)
@@ -171,3 +174,50 @@ def test_rounds_go_on_until_no_probability_moves(spark):
     items = {r["item"]: r for r in C.consensus(spark.createDataFrame(votes, VOTES), unvoted=True).items.collect()}
     q = brute_all(votes, 400)
     assert {i: r["probability"] for i, r in items.items()} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=5e-3)
+
+
+def many_labels(items=150, labels=70):
+    rng, votes = random.Random(8), []
+    for i in range(items):
+        truth = rng.randrange(labels)
+        for who, p in {"w1": 0.9, "w2": 0.8, "w3": 0.5, "w4": 0.3}.items():
+            if rng.random() < 0.6:
+                votes.append(("t", f"i{i}", who, f"l{truth if rng.random() < p else (truth + rng.randrange(4)) % labels:02d}", len(votes)))
+    return votes
+
+
+@pytest.mark.parametrize("negligible", [C.NEGLIGIBLE, 1000.0])
+def test_classes_left_out_do_not_count(spark, monkeypatch, negligible):
+    """With many labels most pairs of item and class are left out; with an impossible bound none is."""
+    votes = many_labels()
+    monkeypatch.setattr(C, "NEGLIGIBLE", negligible)
+    result = C.consensus(spark.createDataFrame(votes, VOTES), 6, -1, unvoted=True)
+    q = brute_all(votes, 6)
+    assert {r["item"]: r["probability"] for r in result.items.collect()} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=1e-9)
+    got = {(r["item"], r["class"]): (r["probability"], r["class_votes"]) for r in result.posterior.collect()}
+    given = Counter((v[1], v[3]) for v in votes)
+    assert all(got[i, k] == (pytest.approx(q[i][k], abs=1e-9), n) for (i, k), n in given.items())
+
+
+def test_a_task_that_breaks_the_bound_runs_with_all_classes(spark, monkeypatch):
+    votes = many_labels()
+    monkeypatch.setattr(C, "NEGLIGIBLE", 34.0)  # tried without, and broken by a round
+    items = C.consensus(spark.createDataFrame(votes, VOTES), 4, -1, unvoted=True).items.collect()
+    q = brute_all(votes, 4)
+    assert {r["item"]: r["probability"] for r in items} == pytest.approx({i: max(p.values()) for i, p in q.items()}, abs=1e-9)
+
+
+def test_reliability_counts_are_sums_of_the_posterior(spark):
+    _, votes = simulated(80)
+    result = C.consensus(spark.createDataFrame(votes, VOTES), 5, -1, unvoted=True)
+    q, right = brute_all(votes, 5), Counter()
+    for _, i, a, label, _ in votes:
+        right[a] += q[i][label]
+    assert {r["annotator"]: r["expected_right"] for r in result.annotators.collect()} == pytest.approx(right, abs=1e-9)
+    top = Counter()
+    for i in {v[1] for v in votes}:
+        n = Counter(v[3] for v in votes if v[1] == i)
+        label, most = n.most_common(1)[0]
+        if sum(n.values()) >= 3 and 2 * most > sum(n.values()):
+            top.update(v[2] for v in votes if v[1] == i and v[3] == label)
+    assert {r["annotator"]: r["settled_right"] for r in result.annotators.collect()} == dict(top)

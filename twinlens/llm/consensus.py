@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -41,8 +41,10 @@ MAX_ROUNDS, TOLERANCE, CHECK_EVERY = 2000, 1e-4, 5
 MAX_BROADCAST_ROWS = 100_000
 #: Up to so many (annotator, label, class) the model is held as arrays; beyond that as tables.
 MAX_CELLS = 8_000_000
-#: Votes whose class probabilities are computed at once, votes in a task of a round, and partial counts sent to the driver.
-CHUNK_VOTES, PART_VOTES, FAN_IN = 20_000, 100_000, 16
+#: Votes whose class probabilities are computed at once, votes in a task of a round (fewer would cost more for the task than for them), and partial counts sent to the driver.
+CHUNK_VOTES, PART_VOTES, FAN_IN = 50_000, 1_000_000, 16
+#: Up to so many bytes of vote numbers (four for each vote and possible class) the rounds of a task run in one Spark task: a job a round would cost more than the round. Beyond that every round is a job over all items.
+SOLO_BYTES = 32_000_000
 #: Probabilities as near as this are equal. A class whose score is this far below an item's best is left out (a probability under 1e-13).
 EQUAL, NEGLIGIBLE = 1e-12, 30.0
 POSTERIOR = "task string, item string, class string, probability double, class_votes bigint, chosen boolean, votes bigint, labels bigint, majority_label string, majority_votes bigint"
@@ -249,9 +251,14 @@ def _by_arrays(votes: DataFrame, cells: pd.DataFrame, max_rounds: int, tolerance
             tasks[no] = replace(tasks[no], keys=np.arange(len(n)) if no in whole else np.flatnonzero(n))
         now = {no: tasks[no] for no in left}
         first = {no: (start[no][0][m.keys], start[no][1]) for no, m in now.items()}
-        fits |= _fitted(_flat(alike, now, unvoted), parts, now, first, max_rounds, tolerance, whole if unvoted else set(now))
+        flat = _flat(alike, now, unvoted)
+        rest = (now, first, max_rounds, tolerance, whole if unvoted else set(now))
+        small = flat.agg(F.sum(F.octet_length("key"))).first()[0] or 0
+        fits |= _solo(flat, *rest) if small <= SOLO_BYTES and max_rounds else _fitted(lambda models, flat=flat: _round(flat, parts, models), *rest)
         whole |= set(left)
     rounds = max((f.rounds for f in fits.values()), default=0)
+    if any(f.change > tolerance for f in fits.values()):
+        _unfinished(rounds, tolerance)
     rates = [(names[no], a, float(r), float(t)) for no, m in tasks.items() for a, r, t in _right(m, fits[no].counts, cells)]
     return _posterior(per_item, names, tasks, fits, unvoted), spark.createDataFrame(rates, "task string, annotator string, right double, all double"), rounds
 
@@ -269,6 +276,7 @@ class _Fit:
     model: tuple[np.ndarray, np.ndarray] | None
     counts: np.ndarray
     rounds: int
+    change: float
 
 
 def _start(alike: DataFrame, tasks: Mapping[int, _Task]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -312,75 +320,100 @@ def _flat(alike: DataFrame, tasks: Mapping[int, _Task], unvoted: bool) -> DataFr
     return materialize(alike.mapInPandas(lay, "no int, " + ", ".join(f"{name} binary" for name in _FLAT)), "flat")
 
 
-def _fitted(flat: DataFrame, parts: int, tasks: Mapping[int, _Task], counts: dict[int, tuple[np.ndarray, np.ndarray]], max_rounds: int, tolerance: float, whole: set[int]) -> dict[int, _Fit]:
-    """The tasks whose rounds ended; those that broke the bound are left out."""
+Models = Mapping[int, tuple[int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray] | None]]
+Sums = dict[int, tuple[np.ndarray, np.ndarray, float, float]]
+
+
+def _fitted(step: Callable[[Models], Sums], tasks: Mapping[int, _Task], counts: dict[int, tuple[np.ndarray, np.ndarray]], max_rounds: int, tolerance: float, whole: set[int]) -> dict[int, _Fit]:
+    """The tasks whose rounds ended; those that broke the bound are left out. ``step`` gives the expected counts under the models."""
     models: dict[int, tuple[np.ndarray, np.ndarray] | None] = dict.fromkeys(tasks)
-    moving, fits = set(tasks), {}
+    moving, fits, counts = set(tasks), {}, dict(counts)
     if max_rounds == 0:
-        return {no: _Fit(None, counts[no][0], 0) for no in tasks}
+        return {no: _Fit(None, counts[no][0], 0, 0.0) for no in tasks}
     for rounds in range(1, max_rounds + 1):
         look = rounds > 1 and (rounds % CHECK_EVERY == 0 or rounds == max_rounds)
         before = {no: models[no] for no in moving}
         models |= {no: tasks[no].logs(*counts[no]) for no in moving}
-        for no, (n, classes, change, least) in _round(flat, parts, {no: (tasks[no], models[no], before[no] if look else None) for no in moving}).items():
+        for no, (n, classes, change, least) in step({no: (len(tasks[no].keys), models[no], before[no] if look else None) for no in moving}).items():
             counts[no] = n, classes
             if no not in whole and least < tasks[no].far + NEGLIGIBLE:
                 moving.discard(no)
             elif rounds == max_rounds or (look and change <= tolerance):
-                if change > tolerance:
-                    _unfinished(rounds, tolerance)
-                fits[no] = _Fit(models[no], n, rounds)
+                fits[no] = _Fit(models[no], n, rounds, change)
                 moving.discard(no)
         if not moving:
             break
     return fits
 
 
-def _round(flat: DataFrame, parts: int, models: Mapping[int, tuple]) -> dict[int, tuple[np.ndarray, np.ndarray, float, float]]:
+def _add(out: dict, no: int, counts: np.ndarray, classes: np.ndarray, change: float, least: float) -> None:
+    had = out.get(no)
+    out[no] = (counts, classes, change, least) if had is None else (had[0] + counts, had[1] + classes, max(had[2], change), min(had[3], least))
+
+
+def _expect(some: Iterable[tuple[int, _Items]], models: Models) -> Sums:
     """Per task the expected counts per key and per class, the largest change of a probability, and the lowest score of an item's best class."""
-    model = flat.sparkSession.sparkContext.broadcast(dict(models))
-    columns = ["no", "counts", "classes", "change", "least"]
+    out: Sums = {}
+    for no, items in some:
+        if no in models:
+            keys, now, before = models[no]
+            q, least = items.held(now)
+            change = float(np.abs(q - items.held(before)[0]).max()) if before else 0.0
+            q = q * np.repeat(items.weight, items.pairs)
+            _add(out, no, np.bincount(items.key, np.repeat(q, items.votes), minlength=keys), np.bincount(items.to, q, minlength=len(now[1])), change, least)
+    return out
+
+
+def _read(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, _Items]]:
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            yield r.no, _Items(**{name: np.frombuffer(getattr(r, name), kind) for name, kind in _FLAT.items()})
+
 
-    def add(out: dict, no: int, counts: np.ndarray, classes: np.ndarray, change: float, least: float) -> None:
-        if no not in out:
-            out[no] = [np.zeros(len(counts)), np.zeros(len(classes)), 0.0, math.inf]
-        has = out[no]
-        has[0] += counts
-        has[1] += classes
-        has[2], has[3] = max(has[2], change), min(has[3], least)
+def _round(flat: DataFrame, parts: int, models: Models) -> Sums:
+    """_expect over all items, on the workers."""
+    model = flat.sparkSession.sparkContext.broadcast(dict(models))
 
-    def rows(out: dict) -> Iterator[pd.DataFrame]:
+    def rows(out: Sums) -> Iterator[pd.DataFrame]:
         for no, (counts, classes, change, least) in out.items():
-            yield pd.DataFrame([(no, counts.tobytes(), classes.tobytes(), change, least)], columns=columns)
+            yield pd.DataFrame([(no, counts.tobytes(), classes.tobytes(), change, least)], columns=["no", "counts", "classes", "change", "least"])
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict = {}
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                task, now, before = model.value[r.no]
-                items = _Items(**{name: np.frombuffer(getattr(r, name), kind) for name, kind in _FLAT.items()})
-                q, least = items.held(now)
-                change = float(np.abs(q - items.held(before)[0]).max()) if before else 0.0
-                q = q * np.repeat(items.weight, items.pairs)
-                add(out, r.no, np.bincount(items.key, np.repeat(q, items.votes), minlength=len(task.keys)), np.bincount(items.to, q, minlength=len(task.classes)), change, least)
-        yield from rows(out)
+        yield from rows(_expect(_read(batches), model.value))
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict = {}
+        out: Sums = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
-                add(out, r.no, np.frombuffer(r.counts), np.frombuffer(r.classes), r.change, r.least)
+                _add(out, r.no, np.frombuffer(r.counts), np.frombuffer(r.classes), r.change, r.least)
         yield from rows(out)
 
     schema = "no int, counts binary, classes binary, change double, least double"
     sums = flat.filter(F.col("no").isin(*models)).mapInPandas(expect, schema)
     if parts > FAN_IN:  # the driver gets a few models, not one per part
         sums = sums.repartition(FAN_IN).mapInPandas(combine, schema)
-    given: dict = {}
+    given: Sums = {}
     for r in sums.collect():
-        add(given, r["no"], np.frombuffer(r["counts"]), np.frombuffer(r["classes"]), r["change"], r["least"])
+        _add(given, r["no"], np.frombuffer(r["counts"]), np.frombuffer(r["classes"]), r["change"], r["least"])
     model.destroy()
-    return {no: tuple(v) for no, v in given.items()}
+    return given
+
+
+def _solo(flat: DataFrame, tasks: Mapping[int, _Task], counts: Mapping[int, tuple[np.ndarray, np.ndarray]], *rest) -> dict[int, _Fit]:
+    """The same rounds, all of a task's in one Spark task; for items of a checked size."""
+    given = flat.sparkSession.sparkContext.broadcast((dict(tasks), dict(counts)))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, first = given.value
+        some = list(_read(batches))
+        here = {no: of[no] for no, _ in some}
+        for no, fit in _fitted(lambda models: _expect(some, models), here, {no: first[no] for no in here}, *rest).items():
+            logs, shares = fit.model
+            yield pd.DataFrame([(no, logs.tobytes(), shares.tobytes(), fit.counts.tobytes(), fit.rounds, fit.change)], columns=["no", "logs", "shares", "counts", "rounds", "change"])
+
+    solved = flat.repartition(len(tasks), "no").mapInPandas(solve, "no int, logs binary, shares binary, counts binary, rounds int, change double").collect()
+    given.destroy()
+    return {r["no"]: _Fit((np.frombuffer(r["logs"]), np.frombuffer(r["shares"])), np.frombuffer(r["counts"]), r["rounds"], r["change"]) for r in solved}
 
 
 def _posterior(per_item: DataFrame, names: list[str], tasks: Mapping[int, _Task], fits: Mapping[int, _Fit], unvoted: bool) -> DataFrame:
