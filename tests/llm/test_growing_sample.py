@@ -44,6 +44,25 @@ def test_keys_stay_when_loads_are_added(spark):
     assert sizes == sorted(sizes)
 
 
+def test_a_stored_ledger_goes_on_in_another_session(spark, tmp_path):
+    """Only the new load's rows are given; the ledger is opened anew each time."""
+    want = brute(DATA, 0.13)
+    for load in (1, 2, 3, 4):
+        ledger = G.Ledger(spark, f"{tmp_path}/ledger", 0.13)
+        ledger.grow(rows_of(spark, [d for d in DATA if d[2] == load]), "cond", "uid", load)
+        ledger.grow(rows_of(spark, [("new", "late", load)]), "cond", "uid", load)  # the load is in the ledger: nothing changes
+    assert {(r["stratum"], r["sample_key"]): r["chosen_in"] for r in G.Ledger(spark, f"{tmp_path}/ledger", 0.13).chosen().collect()} == want
+    assert G.Ledger(spark, f"{tmp_path}/ledger", 0.13).loads() == [1, 2, 3, 4]
+    # A table with all loads adds nothing; rows of an earlier load are refused.
+    again = G.replay(rows_of(spark, DATA), "cond", "uid", "load", 0.13, path=f"{tmp_path}/ledger")
+    assert {(r["stratum"], r["sample_key"]): r["chosen_in"] for r in again.collect()} == want
+    try:
+        G.Ledger(spark, f"{tmp_path}/ledger", 0.13).grow(rows_of(spark, DATA[:3]), "cond", "uid", 0)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
 def test_empty_tie_and_long_keys(spark):
     assert G.replay(rows_of(spark, DATA[:1]).limit(0), "cond", "uid", "load", 0.5).count() == 0
     long = "k" * 100_000

@@ -79,3 +79,11 @@ def test_table(spark):
     assert S.split_texts(df.limit(0), "doc_id", "body", 128, 16).count() == 0
     with pytest.raises(ValueError):
         S.split_texts(df, "doc_id", "body", 10, 9)
+
+
+def test_a_text_of_as_many_bytes_as_the_limit_may_be_too_long(spark):
+    """Each of these characters is a token, and so is the blank put before the text."""
+    text = "\n" * 64
+    assert len(token_starts(text)) == 65
+    df = spark.createDataFrame([(1, text), (2, "\n" * 63)], "k bigint, t string")
+    assert {r["piece_key"] for r in S.split_texts(df, "k", "t", 64, 8).collect()} == {1}

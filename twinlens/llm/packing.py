@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.plans.prefix import range_prefix
 from twinlens.plans.skew import HOT_SHARE
 from twinlens.session import materialize
 
@@ -90,9 +91,10 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacity: int, block: int = BL
     size = F.coalesce(F.col(f"`{tokens}`").cast("bigint"), F.lit(0))
     parts = sizes.select(F.col(f"`{key}`").cast("bigint").alias("doc_key"), size.alias("whole")).withColumn("row_no", F.monotonically_increasing_id())
     parts = materialize(parts, "sizes")  # row_no must not change between uses
-    full = parts.filter(F.col("whole") > capacity).select("doc_key", "row_no", "whole", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr(f"whole div {capacity}"))).alias("part_no"))
-    # Containers filled by one document's parts: negative numbers, unlike those of the blocks.
-    full = full.select("doc_key", F.col("part_no").cast("int"), ((F.col("part_no") - 1) * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("part_tokens"), (-F.xxhash64("row_no", "part_no").bitwiseAND(2**62 - 1) - 1).alias("container_id"), F.lit(capacity).cast("bigint").alias("filled"))
+    large = parts.filter(F.col("whole") > capacity).withColumns({"_all": F.lit(0), "filled_up": F.expr(f"whole div {capacity}")})
+    # Containers filled by one document's parts are numbered one after the other: negative numbers, unlike those of the blocks.
+    full = range_prefix(large, ["_all"], ["row_no"], ["filled_up"], label="full").select("doc_key", "row_no", (F.col("filled_up_upto") - F.col("filled_up")).alias("before"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("filled_up"))).alias("part_no"))
+    full = full.select("doc_key", F.col("part_no").cast("int"), ((F.col("part_no") - 1) * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("part_tokens"), (-F.col("before") - F.col("part_no")).alias("container_id"), F.lit(capacity).cast("bigint").alias("filled"))
     rest = parts.filter((F.col("whole") <= capacity) | (F.col("whole") % capacity > 0)).withColumn("size", F.when(F.col("whole") > capacity, F.col("whole") % capacity).otherwise(F.col("whole")))
     n = rest.count()
     # A key that holds more than one row in HOT_SHARE would overfill a block; its rows, and only those, are dealt one by one.
@@ -100,14 +102,13 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacity: int, block: int = BL
     dealt = rest.join(F.broadcast(hot), "doc_key", "left").withColumn("salt", F.when(F.col("hot"), F.col("row_no")))
     first = materialize(_packed(_blocks(dealt, ["doc_key", "salt"], n, block), "row_no", "size", "doc_key", capacity), "packed")
     levels = first.groupBy("container").agg(F.sum("size").alias("level"))
-    if n > block:
-        opened = materialize(levels.filter(F.col("level") < capacity), "open")
-        again = _packed(_blocks(opened, ["container"], opened.count(), block), "container", "level", "container", capacity)
-        # The second packing's numbers start where those of the blocks end.
-        moved = again.select(F.col("item").alias("container"), (F.col("container") + (1 << 62)).alias("to"))
-        first = first.join(moved, "container", "left").select("item", "size", F.coalesce("to", "container").alias("container"))
-        first = materialize(first, "repacked")
-        levels = first.groupBy("container").agg(F.sum("size").alias("level"))
+    opened = materialize(levels.filter(F.col("level") < capacity), "open")
+    again = _packed(_blocks(opened, ["container"], opened.count(), block), "container", "level", "container", capacity)
+    # The second packing's numbers start where those of the blocks end.
+    moved = again.select(F.col("item").alias("container"), (F.col("container") + (1 << 62)).alias("to"))
+    first = first.join(moved, "container", "left").select("item", "size", F.coalesce("to", "container").alias("container"))
+    first = materialize(first, "repacked")
+    levels = first.groupBy("container").agg(F.sum("size").alias("level"))
     placed = first.join(levels, "container").join(rest.select(F.col("row_no").alias("item"), "doc_key", "whole"), "item")
     part = F.when(F.col("whole") > capacity, F.expr(f"whole div {capacity}")).otherwise(F.lit(0))
     placed = placed.select("doc_key", (part + 1).cast("int").alias("part_no"), (part * capacity).alias("start_token"), F.col("size").alias("part_tokens"), F.col("container").alias("container_id"), F.col("level").alias("filled"))

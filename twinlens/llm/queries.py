@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from twinlens.llm import consensus as C
 from twinlens.llm import copies, growing_sample, label_mapping, mixing, packing, splitting
 from twinlens.llm.tokens import with_tokens
-from twinlens.session import materialize, table
+from twinlens.session import table
 
 SAMPLE_RATE = 0.2
 
 
 def limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    return {r["limit_name"]: r["tokens"] for r in table(spark, sf_dir, "size_limits").limit(1000).collect()}
+    wanted = ("container_capacity", "piece_limit", "piece_overlap")
+    return {r["limit_name"]: r["tokens"] for r in table(spark, sf_dir, "size_limits").filter(F.col("limit_name").isin(*wanted)).groupBy("limit_name").agg(F.max("tokens").alias("tokens")).collect()}
 
 
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = growing_sample.replay(table(spark, sf_dir, "prompt_bank"), "condition_type", "image_prompt_uid", "load_batch", SAMPLE_RATE)
+    """The ledger is kept in the folder named by spark.twinlens.ledger, where a later session adds only the loads it lacks; without it a new one is made in the shared folder."""
+    named = spark.conf.get("spark.twinlens.ledger", None)
+    ledger = growing_sample.replay(table(spark, sf_dir, "prompt_bank"), "condition_type", "image_prompt_uid", "load_batch", SAMPLE_RATE, path=named)
     return ledger.select(F.col("stratum").alias("condition_type"), F.col("sample_key").alias("image_prompt_uid"), "chosen_in")
 
 
@@ -34,16 +37,17 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_mapping.unmatched_report(_mapped(spark, sf_dir))
 
 
-def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(copies.written_alike(table(spark, sf_dir, "prompt_bank"), "ord", ["benchmark", "axis_id"], ["prompt_text"], ["metadata"]), "written")
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    written = copies.written_alike(table(spark, sf_dir, "prompt_bank"), "ord", ["benchmark", "axis_id"], ["prompt_text"], ["metadata"])
+    return copies.hashed(written), written
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.copies_of(_written(spark, sf_dir)).select(F.col("first_key").alias("first_ord"), F.col("key").alias("ord"))
+    return copies.copies_of(*_written(spark, sf_dir)).select(F.col("first_key").alias("first_ord"), F.col("key").alias("ord"))
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.copy_groups(_written(spark, sf_dir)).select(F.col("first_key").alias("first_ord"), "copies")
+    return copies.copy_groups(*_written(spark, sf_dir)).select(F.col("first_key").alias("first_ord"), "copies")
 
 
 def _consensus(spark: SparkSession, sf_dir: str, *tasks: str) -> C.Consensus:
@@ -130,7 +134,7 @@ tally as (select task, label_uid, label, count(*) as n from standing group by al
 
 _NARROW = "array_to_string(list_transform(string_split(coalesce(prompt_text, ''), ''), lambda c: case when unicode(c) between 65281 and 65374 then chr(unicode(c) - 65248) else c end), '')"
 _WRITTEN = f"""with w as (select ord, benchmark, axis_id, metadata is null as no_meta, regexp_replace(lower(nfc_normalize({_NARROW})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g') as t,
-  case when json_valid(metadata) then list_transform(list_sort(json_keys(metadata)), lambda k: k || '=' || (metadata::json -> k)::varchar) else [metadata] end as m from prompt_bank)"""
+  case when json_valid(metadata) then (select list_sort(list(fullkey || '=' || case when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'NUMBER ' || (atom::varchar::double)::varchar else type || ' ' || coalesce(atom::varchar, '') end)) from json_tree(metadata)) else [metadata] end as m from prompt_bank)"""
 
 SQL = {
     "p2_sample": rf"""

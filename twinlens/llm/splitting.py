@@ -7,7 +7,8 @@ leaves the piece at least half full; without any, the cut is hard. The next
 piece starts exactly ``overlap`` tokens before the cut.
 
 Every piece has fewer tokens than the limit, also when its text is tokenized on
-its own. Texts with at most ``limit`` tokens, NULL and empty ones give no rows;
+its own; only a piece that could not be shortened without losing the overlap (its
+text has more tokens alone than within the whole) may have more then. Texts with at most ``limit`` tokens, NULL and empty ones give no rows;
 repeated keys are cut each for itself. Texts of any length are read whole.
 """
 
@@ -100,7 +101,7 @@ def _cut(at: int, n: int, most: int, overlap: int, units: list[tuple[str, list[i
 def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, with_text: bool = True, vocabulary: str = VOCABULARY) -> DataFrame:
     """(piece_key, piece_no from 1, pieces, start_token, end_token, start_char, end_char, cut, piece_text) of every text with more than ``limit`` tokens.
 
-    A token holds at least one byte, so a text of at most ``limit`` bytes cannot be too long and is not tokenized.
+    A token holds at least one byte of the text or of the blank put before it, so a text of fewer than ``limit`` bytes has at most ``limit`` tokens and is not tokenized.
     """
     if not 0 <= overlap < limit - 1:
         raise ValueError("the overlap must be smaller than the pieces")
@@ -118,5 +119,5 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, wi
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=arrow)
 
-    long = df.select(F.col(f"`{key}`").cast("bigint").alias("piece_key"), F.col(f"`{text}`").cast("string").alias("piece_text")).filter(F.octet_length("piece_text") > limit)
+    long = df.select(F.col(f"`{key}`").cast("bigint").alias("piece_key"), F.col(f"`{text}`").cast("string").alias("piece_text")).filter(F.octet_length("piece_text") >= limit)
     return long.mapInArrow(run, schema)

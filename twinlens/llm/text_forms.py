@@ -25,23 +25,44 @@ def plain(text: str) -> str:
     return "".join(c for c in out if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
 
 
+#: Full-width forms of the ASCII characters.
+_NARROW = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+
+
 def letters_and_digits(text: str) -> str:
-    """The sequence of letters and digits: case, white space, punctuation and invisible characters gone, accents kept, composed, decomposed and full-width forms equal."""
+    """The sequence of letters and digits: case, white space, punctuation and invisible characters gone, accents kept, composed, decomposed and full-width forms equal. Ligatures, raised digits, fractions and other compatibility forms stay letters and digits of their own."""
     if text.isascii():
         return "".join(filter(str.isalnum, text.lower()))
-    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    folded = unicodedata.normalize("NFC", text.translate(_NARROW)).lower().replace("ς", "σ")
     return unicodedata.normalize("NFC", "".join(c for c in folded if unicodedata.category(c)[0] in "LN" or (unicodedata.category(c) in ("Mn", "Mc") and not 0xFE00 <= ord(c) <= 0xFE0F)))
 
 
+def _number(x: str) -> str:
+    """The value of a number's text: 1, 1.0 and 10e-1 are one number, whatever their length."""
+    sign, digits, power = Decimal(x).as_tuple()
+    short = "".join(map(str, digits)).strip("0")
+    zeros = len(digits) - len("".join(map(str, digits)).rstrip("0"))
+    return f"{'-' if sign else ''}{short}e{power + zeros}" if short else "0"
+
+
 def _value(v: object) -> object:
-    """Numbers by value: 1, 1.0 and 1e0 are one number."""
+    """Every value with its type: numbers by value, texts marked as texts."""
     if isinstance(v, dict):
         return {k: _value(x) for k, x in v.items()}
     if isinstance(v, list):
         return [_value(x) for x in v]
-    if isinstance(v, Decimal):
-        return {"#": str(v.normalize())}
-    return v
+    if isinstance(v, _Number):
+        return "#" + v.value
+    return "s" + v if isinstance(v, str) else v
+
+
+class _Number:
+    def __init__(self, text: str):
+        self.value = _number(text)
+
+
+def _no_json(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
 
 
 def canonical_json(text: str | None) -> str | None:
@@ -49,6 +70,6 @@ def canonical_json(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return "j" + json.dumps(_value(json.loads(text, parse_int=Decimal, parse_float=Decimal)), sort_keys=True, ensure_ascii=True, separators=(",", ":"))
+        return "j" + json.dumps(_value(json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_json)), sort_keys=True, ensure_ascii=True, separators=(",", ":"))
     except (ValueError, InvalidOperation, RecursionError):
         return "t" + text
