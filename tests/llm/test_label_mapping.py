@@ -58,3 +58,24 @@ def test_split_names_are_found_in_long_texts():
     m = M.Matcher([("view", 1, ["extreme_closeup"])])
     for filler in (10, 60):
         assert m.match("view", "word " * filler + "extr eme clo seup") == 1
+
+
+def test_the_length_of_a_text_does_not_matter():
+    m = M.Matcher([("a", 1, ["alpha beta gamma delta"]), ("a", 2, ["omega"])])
+    for n in (0, 34, 40, 400):
+        assert m.match("a", "word " * n + "alpha beta gamma dleta") == 1
+    assert m.match("a", "word " * 50 + "omgea") == m.match("a", "omgea") == 2
+
+
+def test_a_long_list_of_one_group(spark):
+    """Longer than any list of literals; compared with all names for some misspelt ones."""
+    names = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzaeio'[k // 100 % 10]}{'bcdfghjklm'[k // 1000 % 10]}{'nprstvwxyz'[k // 10000 % 10]} item" for k in range(60_000)]
+    vocabulary = spark.createDataFrame([("x", k, n, None) for k, n in enumerate(names)], "axis_name string, behavior_id int, canonical_label string, aliases array<string>")
+    df = table(spark, [(1, "x", names[777].upper(), None, None), (2, "x", names[59_999], None, None), (3, "x", "zzzzz thing", None, None)])
+    out = M.map_values(df, vocabulary, "ord", "axis_name", "semantic_label", "candidate_behaviors").collect()
+    assert {(r["key"], r["behavior_id"]) for r in out} == {(1, 777), (3, -1)}
+    n = M.Names([(k, tuple(x.split()), x.replace(" ", "")) for k, x in enumerate(names[:3000])])
+    for joined in ("aku bni", "akubnitem", "bluxnitm", "jtoxz item", "xyz"):
+        joined = joined.replace(" ", "")
+        want = {x for x in names[:3000] if M.edits(joined, x.replace(" ", ""), 3) <= M.allowed(len(x) - 1)}
+        assert want <= {" ".join(n.names[k][1]) for k in n.near(joined, False)}

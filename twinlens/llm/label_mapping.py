@@ -3,7 +3,10 @@
 A multi-pattern automaton over the names and aliases of all entries finds the
 mentions in the folded tokens of a value; of overlapping mentions the longest
 stands. Values without a mention go to a token-set similarity that forgives
-typing errors, order, joined or split words and cut-off ends.
+typing errors, order, joined or split words and cut-off ends. The names a window of
+tokens can be near to are found by length and by counts of letters: an error changes
+the length by at most one and the counts by at most two, so no name is missed and
+few are compared letter by letter.
 
 The result is the entry's id; UNMATCHED when the value names no entry of its
 group, or more than one. Blank and NULL values and groups without entries are
@@ -14,11 +17,13 @@ equally near a text make it unmatched. Texts of any length are read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +32,7 @@ from twinlens.llm.text_forms import plain
 
 UNMATCHED = -1
 #: The list goes to every worker, so its size is checked. A longer one is matched in blocks of whole groups.
-MAX_ENTRIES = 50_000
+MAX_ENTRIES = 500_000
 #: Words around an answer that name nothing.
 FILLERS = frozenset(
     "a an the is it its i think so im am be been was this that these those of to in on at by like looks look seems seem appears mostly mainly kind sort clearly definitely certainly probably possibly perhaps maybe "
@@ -77,20 +82,57 @@ def allowed(length: int) -> int:
     return 0 if length < 3 else 1 if length < 5 else 2 if length < 11 else 3
 
 
+def letter_counts(text: str) -> np.ndarray:
+    """Counts of 32 classes of characters."""
+    return np.bincount([ord(c) % 32 for c in text], minlength=32).astype(np.int16)
+
+
+class Names:
+    """The names of a group, sorted by length of their letters, and again by letters."""
+
+    def __init__(self, names: list[tuple[int, tuple[str, ...], str]]):
+        self.names = sorted(names, key=lambda n: len(n[2]))
+        self.lengths = np.array([len(n[2]) for n in self.names])
+        self.most = np.array([allowed(k) for k in range(int(self.lengths[-1]) + 1)])[self.lengths]
+        self.counts = np.stack([letter_counts(n[2]) for n in self.names])
+        self.order = sorted(range(len(self.names)), key=lambda k: self.names[k][2])
+        self.letters = [self.names[k][2] for k in self.order]
+        #: Tokens of a window: as many as the longest name has and one more, in case a word was split; at least five.
+        self.window = max(5, 1 + max(len(n[1]) for n in self.names))
+
+    def near(self, joined: str, strict: bool) -> list[int]:
+        """Names that can be made of the letters with the errors forgiven."""
+        a, b = np.searchsorted(self.lengths, [len(joined) - 3, len(joined) + 4])
+        most = np.minimum(self.most[a:b], 1) if strict else self.most[a:b]
+        fits = (np.abs(self.lengths[a:b] - len(joined)) <= most) & (np.abs(self.counts[a:b] - letter_counts(joined)).sum(axis=1) <= 2 * most)
+        return (np.flatnonzero(fits) + a).tolist()
+
+    def begun(self, joined: str) -> list[int]:
+        """Names whose letters go on after these."""
+        at = bisect_right(self.letters, joined)
+        out = []
+        while at < len(self.letters) and self.letters[at].startswith(joined):
+            out.append(self.order[at])
+            at += 1
+        return out
+
+
 class Matcher:
-    def __init__(self, entries: Iterable[tuple[str, int, Sequence[str]]]):
-        """entries: (group, id, names)."""
+    def __init__(self, entries: Iterable[tuple[str, int, Sequence[str]]], fillers: frozenset[str] = FILLERS):
+        """entries: (group, id, names); fillers: words around an answer, none of the list."""
         self.automaton = ahocorasick.Automaton()
-        self.names: dict[str, list[tuple[int, tuple[str, ...], str]]] = defaultdict(list)
+        listed: dict[str, list[tuple[int, tuple[str, ...], str]]] = defaultdict(list)
         patterns: dict[str, list[tuple[str, int]]] = defaultdict(list)
         known: set[str] = set()
         for group, entry, names in entries:
             for name in names:
                 if toks := tuple(tokens(name)):
-                    self.names[group].append((entry, toks, "".join(toks)))
+                    listed[group].append((entry, toks, "".join(toks)))
                     patterns[" " + " ".join(toks) + " "].append((group, entry))
                     known.update(toks)
+        self.names = {group: Names(n) for group, n in listed.items()}
         self.known = frozenset(known)
+        self.fillers = fillers - self.known
         for pattern, owners in patterns.items():
             self.automaton.add_word(pattern, (len(pattern), owners))
         if patterns:
@@ -115,32 +157,38 @@ class Matcher:
 
     def similar(self, group: str, toks: Sequence[str], strict: bool = False) -> int:
         """The entry most similar to the tokens, by token set and letters; UNMATCHED if none or two."""
-        telling = [t for t in toks if t not in FILLERS or t in self.known]
+        telling = [t for t in toks if t not in self.fillers]
         if len("".join(telling)) < 3:
             return UNMATCHED
-        best: dict[int, float] = {}
-        windows, told = [toks[i:j] for i in range(len(toks)) for j in range(i + 1, min(i + 5, len(toks)) + 1)], set(telling)
+        names, best, told = self.names[group], {}, set(telling)
+        windows = dict.fromkeys(tuple(toks[i:j]) for i in range(len(toks)) for j in range(i + 1, min(i + names.window, len(toks)) + 1))
         windows = [w for w in windows if any(t in told for t in w)]
-        if telling != list(toks) and len(telling) <= 5:
-            windows.append(telling)
-        for entry, name, letters in self.names[group]:
-            most = min(allowed(len(letters)), 1) if strict else allowed(len(letters))
-            low = most + 1
-            for window in windows:
-                joined = "".join(window)
-                if abs(len(joined) - len(letters)) > most:
-                    continue
-                low = min(low, edits(joined, letters, most))
-                if len(window) > 1 and low and len(name) > 1:
-                    low = min(low, edits("".join(sorted(window)), "".join(sorted(name)), most), self._set_distance(window, name, most))
-            if low <= most and not (low and low * 3 > len(letters) and len(letters) > 3):
-                best[entry] = min(best.get(entry, 99.0), low)
-            elif not strict and self._cut_off(telling, name, letters):
-                best[entry] = min(best.get(entry, 99.0), 3.5)
+        if telling != list(toks):
+            windows.append(tuple(telling))
+        low: dict[int, int] = {}
+        for window in windows:
+            joined = "".join(window)
+            for at in names.near(joined, strict):
+                _, name, letters = names.names[at]
+                most = min(allowed(len(letters)), 1) if strict else allowed(len(letters))
+                d = edits(joined, letters, most)
+                if len(window) > 1 and d and len(name) > 1:
+                    d = min(d, edits("".join(sorted(window)), "".join(sorted(name)), most), self._set_distance(window, name, most))
+                if d <= most and d < low.get(at, most + 1):
+                    low[at] = d
+        near = {at for at, d in low.items() if not (d and d * 3 > len(names.names[at][2]) and len(names.names[at][2]) > 3)}
+        for at in near:
+            entry = names.names[at][0]
+            best[entry] = min(best.get(entry, 99.0), low[at])
+        if not strict:
+            for at in names.begun("".join(telling)):
+                entry, name, letters = names.names[at]
+                if at not in near and self._cut_off(telling, name, letters):
+                    best[entry] = min(best.get(entry, 99.0), 3.5)
         if not best:
             return UNMATCHED
-        near = min(best.values())
-        first = [e for e, d in best.items() if d == near]
+        least = min(best.values())
+        first = [e for e, d in best.items() if d == least]
         return first[0] if len(first) == 1 else UNMATCHED
 
     @staticmethod
@@ -186,7 +234,7 @@ class Matcher:
                 return UNMATCHED
             found |= ids
         if not found:
-            whole = self.similar(group, first) if len(first) <= 4 else UNMATCHED
+            whole = self.similar(group, first)
             if whole != UNMATCHED and not self._several(group, text):
                 return whole
             if whole == UNMATCHED:
@@ -222,29 +270,26 @@ def listed_items(c: Column) -> Column:
 def map_values(df: DataFrame, vocab: DataFrame, key: str, group: str, value: str, items: str) -> DataFrame:
     """One row (key, field_name, item_pos, text, behavior_id) per value of ``value`` (position 0) and item of the list ``items`` (from 1) that is not exactly a canonical name of its group.
 
-    Exact names are set aside in the JVM; only the others go to Python, in Arrow batches. Nothing is shuffled.
+    Exact names are set aside in the JVM by a join to the list, whose size is checked; only the others go to Python, in Arrow batches. Nothing is shuffled.
     """
     entries = canonical_of(vocab)
-    exact: dict[str, list[str]] = defaultdict(list)
-    for axis, _, label, _ in entries:
-        exact[axis].append(label)
-    none = F.lit(None).cast("array<string>")
-    names = F.create_map(*[x for a, ls in exact.items() for x in (F.lit(a), F.array(*map(F.lit, ls)))]) if exact else F.lit(None).cast("map<string,array<string>>")
-    known = F.coalesce(F.try_element_at(names, F.col("axis")) if exact else none, F.array().cast("array<string>"))
     base = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{group}`").cast("string").alias("axis"), F.col(f"`{value}`").cast("string").alias("value"), listed_items(F.col(f"`{items}`").cast("string")).alias("items"))
-    strange = lambda x: x.isNull() | ~F.array_contains(F.col("known"), x)
+    cells = "array<struct<field_name:string,item_pos:int,text:string>>"
     cell = lambda field, pos, text: F.struct(F.lit(field).alias("field_name"), pos.cast("int").alias("item_pos"), text.alias("text"))
-    single = F.when((F.trim("value") != "") & strange(F.col("value")), F.array(cell(value, F.lit(0), F.col("value")))).otherwise(F.array().cast("array<struct<field_name:string,item_pos:int,text:string>>"))
-    listed = F.filter(F.transform("items", lambda x, i: cell(items, i + 1, x)), lambda s: strange(s["text"]))
-    odd = base.withColumn("known", known).select("key", "axis", F.explode(F.concat(single, F.coalesce(listed, F.array().cast("array<struct<field_name:string,item_pos:int,text:string>>")))).alias("c"))
+    single = F.when(F.trim("value") != "", F.array(cell(value, F.lit(0), F.col("value")))).otherwise(F.array().cast(cells))
+    listed = F.coalesce(F.transform("items", lambda x, i: cell(items, i + 1, x)), F.array().cast(cells))
+    every = base.select("key", "axis", F.explode(F.concat(single, listed)).alias("c")).select("key", "axis", "c.*")
+    exact = df.sparkSession.createDataFrame([(axis, label) for axis, _, label, _ in entries], "axis string, text string").distinct()
+    odd = every.join(F.broadcast(exact), ["axis", "text"], "left_anti")
+    given = df.sparkSession.sparkContext.broadcast([(axis, entry, [label, *aliases]) for axis, entry, label, aliases in entries])
 
     @F.pandas_udf("int")
     def meant(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        matcher = Matcher((axis, entry, [label, *aliases]) for axis, entry, label, aliases in entries)
+        matcher = Matcher(given.value)
         for axis, text in batches:
             yield pd.Series([matcher.match(a, t) for a, t in zip(axis, text, strict=True)], dtype="int32")
 
-    return odd.select("key", "axis", "c.*").withColumn("behavior_id", meant("axis", "text"))
+    return odd.select("key", "axis", "field_name", "item_pos", "text").withColumn("behavior_id", meant("axis", "text"))
 
 
 def map_values_in_blocks(df: DataFrame, vocab: DataFrame, key: str, group: str, value: str, items: str, most: int = MAX_ENTRIES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinlens.llm import consensus as C
 from twinlens.llm import copies, growing_sample, label_mapping, mixing, packing, splitting
 from twinlens.llm.tokens import with_tokens
-from twinlens.session import table
+from twinlens.session import materialize, table
 
 SAMPLE_RATE = 0.2
 
@@ -37,6 +37,14 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_mapping.unmatched_report(_mapped(spark, sf_dir))
 
 
+def p3_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of p3_found that are a name or alias of one entry of their axis in other letter case or outer spaces: what they were mapped to."""
+    name = F.explode(F.concat(F.array("canonical_label"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    names = table(spark, sf_dir, "behavior_vocab").select(F.col("axis_name").alias("axis"), "behavior_id", name.alias("name")).groupBy("axis", F.lower("name").alias("name")).agg(F.countDistinct("behavior_id").alias("n")).filter("n = 1")
+    mapped = _mapped(spark, sf_dir).filter("item_pos = 0").withColumn("name", F.lower(F.trim("text")))
+    return mapped.join(names, ["axis", "name"], "left_semi").select(F.col("key").alias("ord"), "behavior_id")
+
+
 def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     written = copies.written_alike(table(spark, sf_dir, "prompt_bank"), "ord", ["benchmark", "axis_id"], ["prompt_text"], ["metadata"])
     return copies.hashed(written), written
@@ -100,10 +108,35 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p8_target_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a mixture no larger than lets all sources with documents keep their target shares."""
     return _mix(spark, sf_dir, True)[1]
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: listed sources, and what must not occur in a mixture: copies of unlisted sources, more copies than allowed, and copies that are neither floor nor ceiling of the expected number."""
+    mixture, report = _mix(spark, sf_dir)
+    per_doc = mixture.groupBy("doc_key", "source").agg(F.count("*").alias("n"), F.max("copy_no").alias("last")).join(F.broadcast(report.select("source", "expected_copies", "max_repeats")), "source", "left")
+    e = F.col("expected_copies")
+    found = per_doc.agg(
+        F.count_if(e.isNull()).alias("unlisted"), F.count_if(F.col("n") > F.col("max_repeats")).alias("over_max_repeats"), F.count_if((F.col("n") < F.floor(e)) | (F.col("n") > F.ceil(e)) | (F.col("n") != F.col("last"))).alias("wrong_copies")
+    )
+    return report.agg(F.count("*").alias("sources")).crossJoin(F.broadcast(found))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents, and what must not occur in a packing: documents left out or placed twice, over-full containers, documents split though they fit, gaps between parts."""
+    capacity = limits(spark, sf_dir)["container_capacity"]
+    sized = materialize(_sized(spark, sf_dir, "doc_id"), "checked")
+    packed = materialize(packing.pack(sized, "doc_id", "tokens", capacity), "packed")
+    docs = packed.groupBy("doc_key").agg(F.count("*").alias("parts"), F.sum("part_tokens").alias("placed"), F.sum((F.col("part_no") - 1) * capacity - F.col("start_token")).alias("off"))
+    d = sized.join(docs, sized["doc_id"] == docs["doc_key"], "left").agg(
+        F.count("*").alias("documents"), F.count_if(F.coalesce(F.col("placed") != F.col("tokens"), F.lit(True))).alias("misplaced"), F.count_if((F.col("tokens") <= capacity) & (F.col("parts") > 1)).alias("split_though_fitting"), F.count_if(F.col("off") != 0).alias("gaps")
+    )
+    boxes = packed.groupBy("container_id").agg(F.sum("part_tokens").alias("level"), F.max("filled").alias("said")).agg(F.count_if((F.col("level") > capacity) | (F.col("level") != F.col("said"))).alias("wrong_containers"))
+    return d.crossJoin(F.broadcast(boxes))
+
+
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     most = limits(spark, sf_dir)
     return splitting.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", most["piece_limit"], most["piece_overlap"], with_text)
@@ -119,7 +152,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_sample, p3_found, p3_unmatched, p4_found, p4_records, p6_found, p6_consensus, p6_reliability, p6_agreement, p7_containers, p7_fill, p8_mixture, p8_shares, p8_exact_shares, p9_found, p9_pieces)
+    for f in (p2_sample, p3_found, p3_unmatched, p3_named, p4_found, p4_records, p6_found, p6_consensus, p6_reliability, p6_agreement, p7_containers, p7_fill, p7_checks, p8_mixture, p8_shares, p8_target_shares, p8_checks, p9_found, p9_pieces)
 }
 
 _NUM = r"case when regexp_full_match(trim({c}, ' '), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim({c}, ' ') as double) end"
@@ -153,6 +186,13 @@ led as (
 select stratum as condition_type, key as image_prompt_uid, chosen as chosen_in from led where i = (select max(i) from led) and key is not null""",
     "p4_found": f"{_WRITTEN}, g as (select *, min(ord) over (partition by benchmark, axis_id, no_meta, t, m) as first_ord from w) select first_ord, ord from g where ord <> first_ord",
     "p4_records": f"{_WRITTEN} select min(ord) as first_ord, count(*) as copies from w group by benchmark, axis_id, no_meta, t, m",
+    "p3_named": """
+with n as (select axis_name, behavior_id, lower(unnest(list_prepend(canonical_label, coalesce(aliases, [])))) as name from behavior_vocab),
+one as (select axis_name, name, min(behavior_id) as behavior_id from n group by axis_name, name having count(distinct behavior_id) = 1)
+select ord, behavior_id from label_rows l join one on l.axis_name = one.axis_name and lower(trim(semantic_label, ' ')) = name
+where not exists (select 1 from behavior_vocab v where v.axis_name = l.axis_name and v.canonical_label = l.semantic_label)""",
+    "p7_checks": "select count(*) as documents, 0 as misplaced, 0 as split_though_fitting, 0 as gaps, 0 as wrong_containers from documents",
+    "p8_checks": r"select count(distinct regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s\-]+', '_', 'g')) as sources, 0 as unlisted, 0 as over_max_repeats, 0 as wrong_copies from source_weights where target_share is not null",
     "p6_found": f"""
 with {_STANDING},
 items as (select label_uid, sum(n) as votes, max(n) as top, arg_max(label, n) as label, count(*) as labels from tally where task = 'semantic_label' group by all),
