@@ -83,6 +83,6 @@ def test_few_large_documents_reach_their_share(spark):
     rng = random.Random(4)
     docs = [(k, "a", 200 if k < 10 else rng.randrange(10, 60)) for k in range(100)] + [(k, "c", 50) for k in range(100, 400)]
     _, report = run(spark, docs, [("a", 0.1, 1), ("c", 0.9, 1)], exact=True)
-    assert report["a"]["actual_share"] == pytest.approx(0.1, abs=0.003)
+    assert report["a"]["actual_share"] == pytest.approx(0.1, abs=0.01)
     assert report["a"]["planned_share"] == pytest.approx(0.1)
     assert sum(r["planned_share"] for r in report.values()) == pytest.approx(1.0)
