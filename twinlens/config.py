@@ -53,6 +53,12 @@ def pair_models(pairs: DataFrame) -> DataFrame:
     return pairs.select("comparison_id", "family", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_model_id").alias("model_id")) for r in ("teacher", "student")])).alias("m")).select("comparison_id", "family", "m.*")
 
 
+def pair_sides(pairs: DataFrame) -> DataFrame:
+    """(comparison_id, family, model_id, is_teacher): the rows by which tables meet the pairs of their models in an equi-join. A model paired with itself is a teacher."""
+    sides = F.filter(F.array(*[F.struct(F.col(f"{r}_model_id").alias("model_id"), F.lit(r == "teacher").alias("is_teacher")) for r in ("teacher", "student")]), lambda s: s["is_teacher"] | ~F.col("teacher_model_id").eqNullSafe(F.col("student_model_id")))
+    return pairs.select("comparison_id", "family", F.explode(sides).alias("m")).select("comparison_id", "family", "m.*")
+
+
 def unique_models(pairs: DataFrame) -> DataFrame:
     """Every model of the pairs once."""
     return pair_models(pairs).select("model_id").distinct()

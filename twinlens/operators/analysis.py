@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from twinlens.functions import labels as L
 from twinlens.functions import stats as S
 from twinlens.functions.text import text
+from twinlens.config import pair_models
 from twinlens.plans.prefix import range_prefix, running_least
+from twinlens.plans.skew import small
 from twinlens.session import materialize
 
 AXIS = ["benchmark", "axis_id", "condition_type"]
@@ -55,9 +57,9 @@ def cells(labels: DataFrame, *values: str) -> DataFrame:
 
 def matched(by_model: DataFrame, pairs: DataFrame, *values: str) -> DataFrame:
     """Teacher and student of each pair in the same cell: t_<value>, s_<value>. One shuffle: cells meet on their key, pairs are a small broadcast table."""
-    small = F.broadcast(pairs)
-    t = by_model.join(small, by_model["model_id"] == small["teacher_model_id"]).select(*PAIR, *CELL, *[F.col(v).alias(f"t_{v}") for v in values])
-    s = by_model.join(small, by_model["model_id"] == small["student_model_id"]).select("comparison_id", *CELL, *[F.col(v).alias(f"s_{v}") for v in values])
+    few = small(pairs)
+    t = by_model.join(few, by_model["model_id"] == few["teacher_model_id"]).select(*PAIR, *CELL, *[F.col(v).alias(f"t_{v}") for v in values])
+    s = by_model.join(few, by_model["model_id"] == few["student_model_id"]).select("comparison_id", *CELL, *[F.col(v).alias(f"s_{v}") for v in values])
     return t.join(s, ["comparison_id", *CELL])
 
 
@@ -83,11 +85,9 @@ def distribution_summary(hist: DataFrame) -> DataFrame:
 
 def facing(hist: DataFrame, pairs: DataFrame) -> DataFrame:
     """Teacher and student histograms of each pair and axis side by side over their common support: t, s (counts, 0 where unseen), t_n, s_n, k (support size); only where both have labels."""
-    small = F.broadcast(pairs)
     n = F.col("count")
-    sides = hist.join(small, (hist["model_id"] == small["teacher_model_id"]) | (hist["model_id"] == small["student_model_id"]))
-    mine = F.col("model_id") == F.col("teacher_model_id")
-    other = F.col("model_id") == F.col("student_model_id")
+    sides = hist.join(small(pair_models(pairs)), "model_id")  # each side of a pair meets the histograms of its model
+    mine, other = F.col("role") == "teacher", F.col("role") == "student"
     rows = sides.groupBy(*PAIR, *AXIS, "label").agg(F.sum(F.when(mine, n).otherwise(0)).alias("t"), F.sum(F.when(other, n).otherwise(0)).alias("s"))
     group = Window.partitionBy(*PAIR, *AXIS)
     return rows.withColumns({"t_n": F.sum("t").over(group), "s_n": F.sum("s").over(group), "k": F.count("*").over(group)}).filter("t_n > 0 and s_n > 0").withColumns({"p": F.col("t") / F.col("t_n"), "q": F.col("s") / F.col("s_n")})
@@ -201,35 +201,38 @@ def alpha_by_pair(fits: DataFrame) -> DataFrame:
 
 
 def sharpening_transfer(faced: DataFrame, alphas: DataFrame, roles: L.Roles = L.ROLES) -> DataFrame:
-    a = _distribution_arrays(faced.filter(F.col("benchmark").isin(*roles.transfer_to) & (F.col("k") >= 2))).join(F.broadcast(alphas), "comparison_id")
+    a = _distribution_arrays(faced.filter(F.col("benchmark").isin(*roles.transfer_to) & (F.col("k") >= 2))).join(small(alphas), "comparison_id")
     return a.select(*PAIR, *AXIS, "alpha_from_fit", "teacher_n", "student_n", "support_size", *[c.alias(n) for n, c in _to_prediction(F.col("alpha_from_fit")).items()])
 
 
 def preference_capability(labels: DataFrame, pairs: DataFrame, broad_drop_min: float = 0.15, explicit_loss_min: float = 0.15, recovery_tolerance: float = 0.10) -> DataFrame:
     """Broad against explicit rates per pair, axis and target, and what a drop points to.
 
-    Rows are first counted per (model, axis, side, target, label, success); targets meet those counts.
+    Rows are first counted per (model, axis, side, target, label, success). A target's rates are sums over an axis that do not
+    depend on it (rows, successes by score or by the label 'pass'), rows labelled with it, and rows aimed at it: targets meet
+    only those sums, by equal keys, never all labels of their axis.
     """
     side = F.when(F.col("condition_type").isin(*L.BROAD_SIDE), "broad").when(F.col("condition_type").isin(*L.EXPLICIT_SIDE), "explicit")
     passed = F.when(F.col("passed").isNotNull(), L.at_least(F.col("passed"), 0.5))
     counted = labels.withColumn("side", side).filter("side is not null").groupBy("model_id", "benchmark", "axis_id", "side", "target", "label", passed.alias("ok")).agg(F.count("*").alias("n"))
     targets = labels.filter("target <> ''").select("benchmark", "axis_id", F.col("target").alias("target_behavior")).distinct()
-    n = F.col("n")
-    wanted = F.col("label") == F.col("target_behavior")
-    own = F.col("target") == F.col("target_behavior")
-    success = F.coalesce(F.col("ok"), wanted | (F.col("label") == "pass"))
+    n, axis = F.col("n"), ["model_id", "benchmark", "axis_id"]
     pick = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
-    broad, explicit = F.col("side") == "broad", F.col("side") == "explicit"
-    rates = counted.join(targets, ["benchmark", "axis_id"]).groupBy("model_id", "benchmark", "axis_id", "target_behavior").agg(
-        pick(broad).alias("broad_n"), pick(broad & wanted).alias("broad_hit"), pick(explicit).alias("all_n"), pick(explicit & success).alias("all_hit"), pick(explicit & own).alias("own_n"), pick(explicit & own & success).alias("own_hit")
-    )
+    broad, explicit, said_pass = F.col("side") == "broad", F.col("side") == "explicit", F.col("label") == "pass"
+    counted = materialize(counted, "counted")  # read four times
+    whole = counted.groupBy(*axis).agg(pick(broad).alias("broad_n"), pick(explicit).alias("all_n"), pick(explicit & F.coalesce("ok", said_pass)).alias("base_hit"))
+    by_label = counted.groupBy(*axis, F.col("label").alias("target_behavior")).agg(pick(broad).alias("broad_hit"), pick(explicit & F.col("ok").isNull() & ~said_pass).alias("label_hit"))
+    by_target = counted.groupBy(*axis, F.col("target").alias("target_behavior")).agg(pick(explicit).alias("own_n"), pick(explicit & F.coalesce("ok", said_pass | (F.col("label") == F.col("target")))).alias("own_hit"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    met = whole.join(targets, ["benchmark", "axis_id"]).join(by_label, [*axis, "target_behavior"], "left").join(by_target, [*axis, "target_behavior"], "left")
+    rates = met.select(*axis, "target_behavior", "broad_n", zero("broad_hit").alias("broad_hit"), "all_n", (F.col("base_hit") + zero("label_hit")).alias("all_hit"), zero("own_n").alias("own_n"), zero("own_hit").alias("own_hit"))
     has_own = F.col("own_n") > 0
     rates = rates.withColumns({"explicit_n": F.when(has_own, F.col("own_n")).otherwise(F.col("all_n")), "explicit_hit": F.when(has_own, F.col("own_hit")).otherwise(F.col("all_hit"))}).filter("broad_n > 0 and explicit_n > 0")
     rates = rates.select("model_id", "benchmark", "axis_id", "target_behavior", (F.col("broad_hit") / F.col("broad_n")).alias("broad_rate"), (F.col("explicit_hit") / F.col("explicit_n")).alias("explicit_rate"), "broad_n", "explicit_n")
-    small, key = F.broadcast(pairs), ["benchmark", "axis_id", "target_behavior"]
+    few, key = small(pairs), ["benchmark", "axis_id", "target_behavior"]
     value = ("broad_rate", "explicit_rate", "broad_n", "explicit_n")
-    t = rates.join(small, F.col("model_id") == F.col("teacher_model_id")).select(*PAIR, *key, *[F.col(v).alias(f"teacher_{v}") for v in value])
-    s = rates.join(small, F.col("model_id") == F.col("student_model_id")).select("comparison_id", *key, *[F.col(v).alias(f"student_{v}") for v in value])
+    t = rates.join(few, F.col("model_id") == F.col("teacher_model_id")).select(*PAIR, *key, *[F.col(v).alias(f"teacher_{v}") for v in value])
+    s = rates.join(few, F.col("model_id") == F.col("student_model_id")).select("comparison_id", *key, *[F.col(v).alias(f"student_{v}") for v in value])
     d = t.join(s, ["comparison_id", *key]).withColumns({"broad_drop": F.col("teacher_broad_rate") - F.col("student_broad_rate"), "explicit_drop": F.col("teacher_explicit_rate") - F.col("student_explicit_rate")})
     kind = F.when(F.col("broad_drop") >= broad_drop_min, F.when(F.col("explicit_drop") <= recovery_tolerance, "preference_shift").when(F.col("explicit_drop") >= explicit_loss_min, "capability_or_information_loss"))
     return d.withColumn("classification", F.coalesce(kind, F.lit("stable_or_ambiguous")))

@@ -11,7 +11,9 @@ from twinlens.functions import labels as L
 from twinlens.functions import stats as S
 from twinlens.functions.text import normalize_label, stable_hash, text
 from twinlens.operators.analysis import CELL, PAIR
+from twinlens.config import pair_models, pair_sides
 from twinlens.plans.prefix import with_previous
+from twinlens.plans.skew import MAX_SMALL, small
 
 # Markers of a retired prompt family; fields a job and a label row must have.
 RETIRED_MARKERS = ("h1_prompt", "h2_prompt", "h1/h2", "diversity_h1", "diversity_h2")
@@ -87,9 +89,8 @@ def pair_coverage(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     by_cell = labels.select("model_id", *CELL).distinct()
     total = by_cell.select(*CELL).distinct().agg(F.count("*").alias("cells"))
-    small = F.broadcast(pairs)
-    met = by_cell.join(small, F.col("model_id").isin(F.col("teacher_model_id"), F.col("student_model_id")))
-    cell = met.groupBy("comparison_id", *CELL).agg(F.bool_or(F.col("model_id") == F.col("teacher_model_id")).alias("t"), F.bool_or(F.col("model_id") == F.col("student_model_id")).alias("s"))
+    met = by_cell.join(small(pair_models(pairs)), "model_id")
+    cell = met.groupBy("comparison_id", *CELL).agg(F.bool_or(F.col("role") == "teacher").alias("t"), F.bool_or(F.col("role") == "student").alias("s"))
     counts = cell.groupBy("comparison_id").agg(F.count_if(F.expr("t and s")).alias("matched_labeled_cells"), F.count_if(F.expr("t and not s")).alias("teacher_only_labeled_cells"), F.count_if(F.expr("s and not t")).alias("student_only_labeled_cells"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     out = pairs.select("comparison_id").join(counts, "comparison_id", "left").crossJoin(F.broadcast(total))
@@ -127,24 +128,23 @@ def unpivot_gates(one_row: DataFrame, gates: Mapping[str, Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(c, F.lit(False)).alias("pass")) for n, c in gates.items()])).alias("g")).select("g.*")
 
 
-def _with_roles(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _with_roles(rows: DataFrame, pairs: DataFrame, roles: L.Roles) -> DataFrame:
     """Every row with each pair its model belongs to and the research questions it counts for."""
-    small = F.broadcast(pairs)
-    keyed = rows.select("*", L.applicable_rqs().alias("rqs"), *[_key(c).alias(f"k_{c}") for c in CELL], _key("model_id").alias("k_model"))
-    met = keyed.join(small, F.col("k_model").isin(F.col("teacher_model_id"), F.col("student_model_id")))
-    return met.withColumn("is_teacher", F.col("k_model") == F.col("teacher_model_id")).withColumn("rq", F.explode("rqs"))
+    keyed = rows.select("*", L.applicable_rqs(roles).alias("rqs"), *[_key(c).alias(f"k_{c}") for c in CELL], _key("model_id").alias("k_model"))
+    met = keyed.join(small(pair_sides(pairs).withColumnRenamed("model_id", "k_model")), "k_model")
+    return met.withColumn("rq", F.explode("rqs"))
 
 
 _RQ_CELL = ["rq", *PAIR, *[f"k_{c}" for c in CELL]]
 
 
-def readiness(rows: DataFrame, pairs: DataFrame, min_quality: float = 3.0, strict: bool = True) -> DataFrame:
+def readiness(rows: DataFrame, pairs: DataFrame, min_quality: float = 3.0, strict: bool = True, roles: L.Roles = L.ROLES) -> DataFrame:
     """Per research question and pair: expected and ready matched cells, gaps, status. Rows are summed per cell on the map side, then cells per pair."""
     spark = rows.sparkSession
-    missing = L.missing_signals(L.required_signals())
+    missing = L.missing_signals(L.required_signals(roles))
     low = F.coalesce(L.float_no_nan(F.col("quality_score")) < min_quality, F.lit(False))
     has = L.behavior_label() != ""
-    state = _with_roles(rows.select("model_id", *CELL, F.size(missing).alias("gaps"), low.alias("low"), has.alias("has")).withColumn("ok", F.expr("gaps = 0 and not low and has")), pairs)
+    state = _with_roles(rows.select("model_id", *CELL, F.size(missing).alias("gaps"), low.alias("low"), has.alias("has")).withColumn("ok", F.expr("gaps = 0 and not low and has")), pairs, roles)
     cell = state.groupBy(*_RQ_CELL).agg(
         F.count("*").alias("n"), F.count_if("ok").alias("ok_n"), F.sum("gaps").alias("gaps"), F.count_if("low").alias("low"), F.count_if(~F.col("has")).alias("blank"), F.bool_or("is_teacher").alias("t"), F.bool_or(~F.col("is_teacher")).alias("s"),
         F.coalesce(F.bool_or(F.col("is_teacher") & F.col("ok")), F.lit(False)).alias("rt"), F.coalesce(F.bool_or(~F.col("is_teacher") & F.col("ok")), F.lit(False)).alias("rs"),
@@ -176,9 +176,9 @@ def label_manifest_join(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("rows"), F.count_if(~found).alias("missing_job_references"), *differs, F.count_if(foreign).alias("eval_uid_not_in_manifest_job"), F.count_if(F.col("label_uid") != stable_hash(F.col("job_id"), F.col("eval_uid"))).alias("label_uid_mismatches"))
 
 
-def planned_cells(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def planned_cells(rows: DataFrame, pairs: DataFrame, roles: L.Roles = L.ROLES) -> DataFrame:
     """Planned matched cells per research question, pair and benchmark."""
-    cell = _with_roles(rows.select("model_id", *CELL), pairs).groupBy(*_RQ_CELL).agg(F.count("*").alias("n"), F.bool_or("is_teacher").alias("t"), F.bool_or(~F.col("is_teacher")).alias("s"))
+    cell = _with_roles(rows.select("model_id", *CELL), pairs, roles).groupBy(*_RQ_CELL).agg(F.count("*").alias("n"), F.bool_or("is_teacher").alias("t"), F.bool_or(~F.col("is_teacher")).alias("s"))
     return cell.groupBy("rq", *PAIR, F.col("k_benchmark").alias("benchmark")).agg(F.sum("n").alias("row_count"), F.count_if(F.expr("t and s")).alias("planned_matched_cells"))
 
 
@@ -205,7 +205,7 @@ def seed_compliance(jobs: DataFrame, policy: DataFrame, default: Sequence[int] |
     """
     keys = ["model_id", "benchmark", "condition_type", "image_prompt_uid"]
     seen = jobs.select(*[_key(k).alias(k) for k in keys], F.col("seed").cast("int").alias("seed")).distinct()
-    plan = F.broadcast(policy.select("benchmark", "condition_type", F.array_distinct("seeds").alias("seeds")))
+    plan = small(policy.select("benchmark", "condition_type", F.array_distinct("seeds").alias("seeds")))
     with_plan = seen.join(plan, ["benchmark", "condition_type"], "left")
     if default is not None:
         with_plan = with_plan.withColumn("seeds", F.coalesce("seeds", F.array(*map(F.lit, default))))
@@ -258,11 +258,13 @@ def experiment_gates(bank: DataFrame, jobs: DataFrame, rows: DataFrame | None, e
     return unpivot_gates(one, gates)
 
 
-def design_gates(bank: DataFrame, jobs: DataFrame, rows: DataFrame, pairs: DataFrame, policy: DataFrame, expected_benchmarks: Sequence[str], device: str, seeds: Sequence[int], required_rqs: Sequence[str], require_bridge: bool = True, shards: DataFrame | None = None) -> DataFrame:
-    """(gate, pass) for the whole design. Each table is summed on its own; only one-row results meet."""
+def design_gates(bank: DataFrame, jobs: DataFrame, rows: DataFrame, pairs: DataFrame, policy: DataFrame, expected_benchmarks: Sequence[str], device: str, seeds: Sequence[int], required_rqs: Sequence[str], require_bridge: bool = True, shards: DataFrame | None = None, roles: L.Roles = L.ROLES) -> DataFrame:
+    """(gate, pass) for the whole design; single_model_shards only where shards are given. Each table is summed on its own; only one-row results meet."""
     from twinlens.config import unique_models
 
-    models = sorted(r[0] for r in unique_models(pairs).limit(10_000).collect())
+    models = sorted(r[0] for r in unique_models(pairs).limit(MAX_SMALL + 1).collect())
+    if len(models) > MAX_SMALL:
+        raise ValueError(f"more than {MAX_SMALL} models")
     names = lambda df, c: F.sort_array(F.collect_set(_key(c)))
     arr = lambda xs: F.array(*map(F.lit, sorted(xs))) if xs else F.array().cast("array<string>")
     one = prompt_bank_audit(bank).crossJoin(bank.agg(names(bank, "benchmark").alias("bank_b"))).select("retired_prompt_records", "bank_b")
@@ -272,7 +274,7 @@ def design_gates(bank: DataFrame, jobs: DataFrame, rows: DataFrame, pairs: DataF
     balance = lambda df, n: df.groupBy(_key("model_id").alias("m")).agg(F.count("*").alias("n")).filter(F.col("m").isin(*models)).agg(F.expr(f"count(*) = {len(models)} and min(n) = max(n)").alias(n))
     one = one.crossJoin(balance(jobs, "jobs_even")).crossJoin(balance(rows, "labels_even"))
     one = one.crossJoin(seed_compliance(jobs, policy, seeds).agg(F.coalesce(F.sum("noncompliant_groups"), F.lit(0)).alias("off_seed"), F.coalesce(F.sum("unknown_policy_groups"), F.lit(0)).alias("no_policy")))
-    design = rq_design(planned_cells(rows, pairs), pairs)
+    design = rq_design(planned_cells(rows, pairs, roles), pairs)
     one = one.crossJoin(design.filter(F.col("rq").isin(*required_rqs)).agg(F.count_if(F.col("planned_matched_cells") == 0).alias("unplanned"))).crossJoin(dissociation_bridges(rows).agg(F.coalesce(F.sum("axis_target_bridges"), F.lit(0)).alias("bridges")))
     every = F.array_union(F.array_union("bank_b", "job_b"), "label_b")
     want = arr(expected_benchmarks)
@@ -288,8 +290,6 @@ def design_gates(bank: DataFrame, jobs: DataFrame, rows: DataFrame, pairs: DataF
     if shards is not None:
         one = one.crossJoin(shards.agg(F.count_if(F.col("models") > 1).alias("mixed"), F.sum("jobs").alias("sharded")).crossJoin(jobs.agg(F.count("*").alias("all_jobs"))))
         gates["single_model_shards"] = F.expr("mixed = 0 and sharded = all_jobs")
-    else:
-        gates["single_model_shards"] = F.lit(True)
     return unpivot_gates(one, gates)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from twinlens.functions import labels as L
 from twinlens.functions.text import slugify, stable_hash, text
 from twinlens.plans.prefix import numbered, with_previous
+from twinlens.plans.skew import small
 from twinlens.session import materialize
 
 MODEL_KEYS = ("scheduler", "max_sequence_length", "lora_path", "lora_scale", "unet_file", "torch_dtype")
@@ -40,7 +41,7 @@ def generation_jobs(prompts: DataFrame, models: DataFrame, policy: DataFrame, de
     """
     if job_order not in ("model_major", "prompt_major"):
         raise ValueError("job_order is model_major or prompt_major")
-    planned = prompts.join(F.broadcast(policy), ["benchmark", "condition_type"], "left").withColumn("seeds", F.coalesce("seeds", F.array(*map(F.lit, default_seeds))))
+    planned = prompts.join(small(policy), ["benchmark", "condition_type"], "left").withColumn("seeds", F.coalesce("seeds", F.array(*map(F.lit, default_seeds))))
     rows = planned.crossJoin(F.broadcast(models)).select("*", F.posexplode("seeds").alias("seed_no", "seed"))
     major = ("model_no", "first_ord") if job_order == "model_major" else ("first_ord", "model_no")
     path = F.concat_ws("/", F.lit(output_root), "model_id", "benchmark", F.concat(slugify(F.col("image_prompt_uid")), F.lit("__seed"), F.col("seed").cast("string"), F.lit(f".{image_format}")))

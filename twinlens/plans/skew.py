@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 #: A group is hot when it holds more than one row in HOT_SHARE; so there are fewer than HOT_SHARE hot groups, whatever the data.
 HOT_SHARE = 1000
+#: Rows of a table of the study's design (pairs, models, seed policies) that is broadcast; a larger one is joined by shuffle.
+MAX_SMALL = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table to be broadcast, if it has at most MAX_SMALL rows; else as it is."""
+    return F.broadcast(df) if df.limit(MAX_SMALL + 1).count() <= MAX_SMALL else df
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:

@@ -10,7 +10,7 @@ from twinlens.operators import records as R
 from twinlens.session import table
 
 LABEL_COLUMNS = (
-    "label_uid", "job_id", "eval_uid", "model_id", "benchmark", "axis_id", "axis_name", "condition_type", "complexity_level", "image_prompt_uid", "seed", "prompt_text", "image_path", "target_behavior",
+    "ord", "load_id", "label_uid", "job_id", "eval_uid", "model_id", "benchmark", "axis_id", "axis_name", "condition_type", "complexity_level", "image_prompt_uid", "seed", "prompt_text", "image_path", "target_behavior",
     "candidate_behaviors", "semantic_label", "semantic_label_confidence", "pass_score", "quality_score", "refusal", "unsafe", "memorization_score", "evaluator", "notes", "labeled_at", "received_at",
 )
 FORMS = {
@@ -19,7 +19,7 @@ FORMS = {
     "memorization_score": P.Form("number", 0.0, 1.0), "refusal": P.Form("truth"), "unsafe": P.Form("truth"),
 }
 _STRING = r'"(?:[^"\\]|\\.)*"'
-#: Forms of the profile: those above (which the SQL shares), and those of the other columns that have one. Timestamps are typed and cannot be of wrong form.
+#: Forms of the profile: those above, and those of the other columns that have one. Timestamps are typed and cannot be of wrong form.
 PROFILE_FORMS = FORMS | {"ord": P.Form(pattern="[0-9]+"), "load_id": P.Form(pattern="[0-9]+"), "candidate_behaviors": P.Form(pattern=rf"\s*\[\s*(?:{_STRING}\s*(?:,\s*{_STRING}\s*)*)?\]\s*|[^\[{{].*")}
 BASELINE_COLUMNS = ("quality_score", "semantic_label_confidence", "memorization_score")
 
@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of the table, ``ord`` and ``load_id`` too. The SQL has the columns of LABEL_COLUMNS only."""
+    """Every column of the table, ``ord`` and ``load_id`` too."""
     rows = table(spark, sf_dir, "label_rows")
     out = P.profile(rows, rows.columns, "load_id", PROFILE_FORMS)
     return out.withColumns({c: F.round(c, 9) for c in ("mean_valid", "ks_previous")})
@@ -60,7 +60,7 @@ def _num(c: str) -> str:
 
 
 def _wrong(name: str, c: str, num: str) -> str:
-    form = FORMS.get(name, P.Form())
+    form = PROFILE_FORMS.get(name, P.Form())
     if form.kind == "number":
         return f"{num} is null"
     if form.kind == "truth":

@@ -376,7 +376,7 @@ e as (select 'missing label_uid' as error, count_if(uid = '') as rows from j uni
   union all select 'quality_score not required', count_if(uid <> '' and not list_contains(req, 'quality_score')) from j union all select 'duplicate label_uid', count_if(uid <> '') - count(distinct uid) filter (uid <> '') from j)
 select * from e where rows > 0""",
     "evaluator_task_errors": f"""with {_RAW}, r as (select ord, load_id, {Q.text("label_uid")} as uid, {_KIND} as kind, list_sort({_REQ}) as req from raw),
-w as (select uid, arg_max(kind, ord) as kind, arg_max(req, ord) as req from r where uid <> '' group by uid), h as (select uid, kind as hk, req as hr from r where load_id <= 3), f as (select * from h full join w using (uid)),
+w as (select uid, arg_max(kind, ord) as kind, arg_max(req, ord) as req from r where uid <> '' group by uid), h as (select uid, kind as hk, req as hr from r where load_id < (select max(load_id) from label_rows)), f as (select * from h full join w using (uid)),
 e as (select 'label_uid absent from labels' as error, count_if(hk is not null and kind is null) as rows from f union all select 'label_uid absent from task index', count_if(hk is null) from f union all select 'evaluator_kind mismatch', count_if(hk <> kind) from f union all select 'required_columns mismatch', count_if(hr <> req) from f)
 select * from e where rows > 0""",
     "export_batch": f"""with {_RAW}, r as (select *, {_KIND} as kind from raw) select ord, label_uid, kind as evaluator_kind, '<redacted>' as prompt_text from r where kind = 'attribute_distribution_labeling' and ord >= 50 order by ord limit 100""",

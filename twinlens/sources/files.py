@@ -60,9 +60,18 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line break: then some line has an odd number of quotes. A scan of lines, in splits, that stops at the first."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(odd % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; every column a text. The header is read first, so that no schema is inferred."""
-    options = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "inferSchema": False}
+    """A CSV file with a header; every column a text. The header is read first, so that no schema is inferred.
+
+    Files without line breaks in cells are read in splits; only those with them are read whole, one task a file.
+    """
+    options = {"header": True, "multiLine": has_broken_lines(spark, path), "escape": '"', "mode": "PERMISSIVE", "inferSchema": False}
     return spark.read.options(**options).csv(path)
 
 
