@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinlens import pipeline, queries_study
+from twinlens.config import Settings
 from twinlens.operators import audits, planning, report
 from twinlens.session import table
 
@@ -67,14 +68,40 @@ def test_whole_chain(spark, sf_dir, tmp_path):
     from twinlens.queries_study import DEVICE, SEEDS, _pairs, policy
 
     t = lambda n: table(spark, sf_dir, n)
-    out = pipeline.post_label(t("prompt_bank"), t("generation_jobs"), t("label_rows"), _pairs(spark, sf_dir), policy(spark), ["hueform"], DEVICE, SEEDS, t("label_updates"), str(tmp_path), strict=False, iterations=50)
+    out = pipeline.post_label(t("prompt_bank"), t("generation_jobs"), t("label_rows"), _pairs(spark, sf_dir), policy(spark), ["hueform"], DEVICE, SEEDS, t("label_updates"), str(tmp_path), strict=False, s=Settings(iterations=50))
     assert out["status"] == "design_or_power_failed" and set(out["claims"]) == {"rq1", "rq2", "rq3", "rq4"}
     assert (tmp_path / "claim_report.md").read_text().startswith("# Claim report")
     assert (tmp_path / "tables" / "residual_transport").is_dir()
+    # The report is the same when it is made again from the results.
+    again = pipeline.report_from(spark, str(tmp_path), _pairs(spark, sf_dir), Settings(iterations=50))
+    assert (again["status"], again["gates"], again["action_items"]) == (out["status"], out["gates"], out["action_items"])
+    assert {k: c["status"] for k, c in again["claims"].items()} == {k: c["status"] for k, c in out["claims"].items()}
+    assert again["safety"]["status"] == out["safety"]["status"]
+    assert (tmp_path / "power_audit.md").is_file() and (tmp_path / "readiness").is_dir()
     stopped = pipeline.post_label(t("prompt_bank"), t("generation_jobs"), t("label_rows"), _pairs(spark, sf_dir), policy(spark), ["hueform"], DEVICE, SEEDS, t("label_updates"))
     assert stopped["status"] == "invalid_updates"
 
 
+def test_two_configurations_give_two_results(spark, sf_dir):
+    from twinlens.config import settings
+    from twinlens.queries_study import _pairs
+
+    base = {"quality_controls": {"minimum_quality_score": 2.0, "quality_match_delta": 0.01, "retain_refusal_rows": True}, "bootstrap": {"iterations": 10, "seed": 1}, "fit_sharpening_on": ["hueform"], "transfer_alpha_to": ["knotwork"], "dissociation_thresholds": {"broad_drop_min": 0.0, "explicit_loss_min": 0.0, "explicit_recovery_tolerance": -2}}
+    other = base | {"quality_controls": {"minimum_quality_score": 4.0}, "fit_sharpening_on": ["stagecraft"], "transfer_alpha_to": ["lorecheck"], "dissociation_thresholds": {"broad_drop_min": 2.0}, "required_primary_rqs": ["rq2_residual_transport"], "require_rq3_dissociation_bridge": False}
+    got = []
+    for a in (base, other):
+        s = settings({"analysis": a})
+        tables, counts = pipeline.analyze(table(spark, sf_dir, "label_rows"), _pairs(spark, sf_dir), s)
+        names = lambda t, c: {r[0] for r in t.select(c).distinct().collect()}
+        got.append((counts["usable_label_rows"], names(tables["sharpening_fits"], "benchmark"), names(tables["sharpening_transfer"], "benchmark"), names(tables["preference_capability"], "classification"), names(tables["quality_pair_balance"], "exceeds_config_delta"), s.required_rqs, s.require_bridge))
+    one, two = got
+    assert one[0] > two[0] > 0
+    assert (one[1], one[2]) == ({"hueform"}, {"knotwork"}) and two[1] <= {"stagecraft"} and two[2] <= {"lorecheck"}
+    assert "capability_or_information_loss" in one[3] and two[3] == {"stable_or_ambiguous"}
+    assert "true" in one[4]
+    assert (two[5], two[6]) == (("rq2_residual_transport",), False)
+
+
 def test_statuses():
     gates = dict.fromkeys(report.ACTIONS, True)
     assert report.overall_status(gates, ["x_detected"]) == "interpretable_results_available"

@@ -4,7 +4,7 @@ import io
 from hypothesis import given
 from hypothesis import strategies as st
 
-from twinlens.operators.records import LABEL_UPDATE, Grammar, Layout, failed_records, parse_lines, valid_records
+from twinlens.operators.records import LABEL_UPDATE, Grammar, Layout, failed_records, parse_files, parse_lines, valid_records
 
 G = Grammar(LABEL_UPDATE)
 OK = '5cdfcf92cc0c1206,cast_iron,,0.41,3.57,false,unsafe,,ann_54,"line one\nline two"'
@@ -55,3 +55,23 @@ def test_tables(spark):
     assert parse_lines(df.limit(0), "line_id", "raw_line").count() == 0
     long = spark.createDataFrame([(1, "a" * 300_000 + ',"' + 'b"",' * 100_000 + '"')], "line_id bigint, raw_line string")
     assert [r["reason"] for r in failed_records(parse_lines(long, "line_id", "raw_line")).collect()] == ["column_count"]
+
+
+def test_files_are_parsed_whole_and_recover(spark):
+    uid = lambda k: f"{k:016x}"
+    lines = [f"{uid(0)},x,,1,2,,,,ann,ok", f'{uid(1)},"open,,1,2,,,,ann,n', f'{uid(2)},"fine",,1,2,,,,"ann",n', f'"{uid(3)}",x,,1,2,,,,ann,"two\nlines"', f'{uid(4)},"cut,,1,2,,,,ann,n', f"{uid(5)},x,,7,2,,,,ann,n\r", f"{uid(6)},short", f'{uid(7)},"end', None]
+    rows = [(k, "a" if k < 7 else "b", k, line, "clash") for k, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "id bigint, file string, no int, line string, fields string").repartition(3)
+    want = [(1, "quoting"), (4, "quoting"), (5, "pass_score"), (6, "column_count"), (7, "quoting")]
+    for block in (2000, 7):
+        parsed = parse_files(df, "file", "no", "id", "line", block=block)
+        assert sorted((r["line_key"], r["reason"]) for r in failed_records(parsed).collect() if r["line_key"] != 8) == want
+        assert sorted(r["label_uid"] for r in valid_records(parsed).collect()) == [uid(0), uid(2), uid(3)]
+    assert parse_files(df.limit(0), "file", "no", "id", "line").count() == 0
+
+
+def test_a_quote_that_closes_by_chance():
+    uid = lambda k: f"{k:016x}"
+    text = f'{uid(1)},a,,1,2,,,,ann,"see next\n{uid(2)},"b",,1,2,,,,ann,n\n{uid(3)},"open,,1,2,,,,ann,n\n{uid(4)},b",,1,2,,,,ann,n\n{uid(5)},c,,1,2,,,,ann,n\n'
+    got = [(r.fields[0] if not r.errors else None, [e.reason for e in r.errors]) for r in G.parse(text)]
+    assert got == [(None, ["quoting"]), (uid(2), []), (None, ["quoting"]), (None, ["quoting"]), (uid(5), [])]

@@ -134,16 +134,17 @@ def merge_label_updates(spark, a):
 
 @command("config", "labels", "out")
 def analyze_labels(spark, a):
-    tables, counts = pipeline.analyze(files.read_label_rows(spark, a.labels), _pairs(spark, a))
+    tables, counts = pipeline.analyze(files.read_label_rows(spark, a.labels), _pairs(spark, a), C.settings(C.load_config(a.config)))
     pipeline.write_analysis(tables, a.out)
     return report.evidence(tables, counts)
 
 
-@command("config", "bank", "jobs", "labels")
+@command("config", "bank", "jobs", "labels", "index")
 def audit_design_matrix(spark, a):
     conf = C.load_config(a.config)
+    s = C.settings(conf)
     sources = report.gate_of("benchmark_sources_available", all(audits.source_gate(C.source_paths(conf, C.expected_benchmarks(conf))).values()))
-    gates = audits.design_gates(files.read_bank(spark, a.bank), files.read_jobs(spark, a.jobs), files.read_label_rows(spark, a.labels), _pairs(spark, a), C.seed_policy(spark, conf), C.expected_benchmarks(conf), conf.get("default_device", ""), _default_seeds(conf), C.required_rqs(conf))
+    gates = audits.design_gates(files.read_bank(spark, a.bank), files.read_jobs(spark, a.jobs), files.read_label_rows(spark, a.labels), _pairs(spark, a), C.seed_policy(spark, conf), C.expected_benchmarks(conf), conf.get("default_device", ""), _default_seeds(conf), s.required_rqs, s.require_bridge, files.shard_table(spark, files.read_document(a.index)) if a.index else None, s.roles)
     return [sources, *_rows(gates)]
 
 
@@ -166,12 +167,13 @@ def audit_label_quality(spark, a):
 
 @command("config", "labels")
 def audit_rq_readiness(spark, a):
-    return _rows(audits.readiness(files.read_label_rows(spark, a.labels), _pairs(spark, a), strict=not a.partial))
+    s = C.settings(C.load_config(a.config))
+    return _rows(audits.readiness(files.read_label_rows(spark, a.labels), _pairs(spark, a), s.minimum_quality, not a.partial, s.roles))
 
 
 @command("config", "labels")
 def audit_statistical_power(spark, a):
-    cells = audits.power_cells(materialize(audits.planned_cells(files.read_label_rows(spark, a.labels), _pairs(spark, a)), "planned"))
+    cells = audits.power_cells(materialize(audits.planned_cells(files.read_label_rows(spark, a.labels), _pairs(spark, a), C.settings(C.load_config(a.config)).roles), "planned"))
     return {"cells": _rows(cells), "summary": _rows(audits.power_summary(cells))}
 
 
@@ -185,7 +187,16 @@ def audit_evaluator_plan(spark, a):
 def run_post_label_pipeline(spark, a):
     conf = C.load_config(a.config)
     given = files.read_updates(spark, a.updates) if a.updates else None
-    return pipeline.post_label(files.read_bank(spark, a.bank), files.read_jobs(spark, a.jobs), files.read_label_rows(spark, a.labels), _pairs(spark, a), C.seed_policy(spark, conf), C.expected_benchmarks(conf), conf.get("default_device", ""), _default_seeds(conf), given, a.out)
+    return pipeline.post_label(files.read_bank(spark, a.bank), files.read_jobs(spark, a.jobs), files.read_label_rows(spark, a.labels), _pairs(spark, a), C.seed_policy(spark, conf), C.expected_benchmarks(conf), conf.get("default_device", ""), _default_seeds(conf), given, a.out, s=C.settings(conf))
+
+
+@command("config", "results", "out")
+def build_claim_report(spark, a):
+    """The report from the folder that run-post-label-pipeline wrote."""
+    out = pipeline.report_from(spark, a.results, _pairs(spark, a), C.settings(C.load_config(a.config)))
+    files.write_document(f"{a.out}/claim_report.json", out)
+    files.write_text(f"{a.out}/claim_report.md", report.report_markdown(out))
+    return {"status": out["status"], "out": a.out}
 
 
 @command("config", "bank", "out")

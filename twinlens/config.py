@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinlens.functions.labels import ROLES, RQS, Roles
+
 REQUIRED = ("model_pairs", "benchmark_plan", "seed_sets")
 PAIR_SCHEMA = "comparison_id string, family string, priority string, teacher_model_id string, student_model_id string"
 #: Seed set of a condition that names none.
@@ -96,8 +99,37 @@ def source_paths(config: Mapping[str, Any], benchmarks: list[str]) -> list[str]:
     return sorted({p for b in benchmarks for p in config["benchmark_plan"].get(b, {}).get("source_paths", [])})
 
 
-def required_rqs(config: Mapping[str, Any]) -> list[str]:
-    from twinlens.functions.labels import RQS
+@dataclass(frozen=True)
+class Settings:
+    """What the ``analysis`` section of a configuration sets."""
+
+    minimum_quality: float = 3.0
+    quality_match_delta: float = 0.25
+    retain_refusals: bool = True
+    iterations: int = 2000
+    confidence: float = 0.95
+    seed: int = 20260904
+    broad_drop_min: float = 0.15
+    explicit_loss_min: float = 0.15
+    recovery_tolerance: float = 0.10
+    require_bridge: bool = True
+    required_rqs: tuple[str, ...] = tuple(r for r in RQS if r != "unlearning_optional")
+    roles: Roles = ROLES
+
+
+def settings(config: Mapping[str, Any]) -> Settings:
+    """The settings of a configuration. A key that is not there has its own default: no minimum quality, a match delta of 1, refusals not retained; the fields of Settings else."""
+    given, base = config.get("analysis", {}), Settings()
+    quality, boot, limits = given.get("quality_controls", {}), given.get("bootstrap", {}), given.get("dissociation_thresholds", {})
+    named = {field: tuple(given[key]) for field, key in (("fit_on", "fit_sharpening_on"), ("transfer_to", "transfer_alpha_to")) if key in given}
+    if quality.get("quality_score_column", "quality_score") != "quality_score":
+        raise ConfigError("quality_score_column must be quality_score")
+    return Settings(
+        float(quality.get("minimum_quality_score", 0.0)), float(quality.get("quality_match_delta", 1.0)), bool(quality.get("retain_refusal_rows", False)), int(boot.get("iterations", base.iterations)), float(boot.get("confidence", base.confidence)), int(boot.get("seed", base.seed)),
+        float(limits.get("broad_drop_min", base.broad_drop_min)), float(limits.get("explicit_loss_min", base.explicit_loss_min)), float(limits.get("explicit_recovery_tolerance", base.recovery_tolerance)), bool(given.get("require_rq3_dissociation_bridge", True)), tuple(required_rqs(config)), replace(base.roles, **named),
+    )
 
+
+def required_rqs(config: Mapping[str, Any]) -> list[str]:
     asked = config.get("analysis", {}).get("required_primary_rqs")
     return [r for r in asked if r in RQS] if asked else [r for r in RQS if r != "unlearning_optional"]

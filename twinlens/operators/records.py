@@ -9,9 +9,10 @@ A recursive-descent grammar reads a text:
     plain   := characters other than delimiter, quote and newline
 
 A field that breaks the grammar is located (offset and field number) and the
-parser recovers: it resumes at the next validated record start, a line start at
-which the anchor pattern matches, so that one broken quote cannot swallow the
-rows after it. Without a later anchor the rest of the text is the broken record.
+parser recovers: it resumes at the first validated record start after the beginning
+of that field, a line start at which the anchor pattern matches, so that one broken
+quote cannot swallow the rows after it. A line inside a quoted field that begins like a
+record is taken for one, and the record before it for broken. Without a later anchor the rest of the text is the broken record.
 
 A text that is itself one undecoded record (``single=True``) may hold line
 breaks anywhere; one final carriage return is dropped. NULL counts as the empty text: one
@@ -22,14 +23,17 @@ checked field; one error per bad field, one for the other two reasons.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from twinlens.functions.values import FALSE_WORDS, NUMBER, TRUE_WORDS
 
@@ -54,9 +58,11 @@ class Record(NamedTuple):
 
 
 class Broken(Exception):
-    def __init__(self, offset: int, field_no: int):
-        super().__init__(offset, field_no)
-        self.offset, self.field_no = offset, field_no
+    """Where the grammar fails, and where the failing field begins: a broken quote may have swallowed records since."""
+
+    def __init__(self, offset: int, field_no: int, begin: int):
+        super().__init__(offset, field_no, begin)
+        self.offset, self.field_no, self.begin = offset, field_no, begin
 
 
 @dataclass(frozen=True)
@@ -107,8 +113,13 @@ class Grammar:
             try:
                 at = self._record(text, at, fields, single)
                 stop, errors = at, self._check(fields, start)
+                # An open quote that meets the quotes of a later record closes by chance: a record start inside a record tells.
+                inner = None if single else self.anchor.search(text, start + 1, stop)
+                if inner:
+                    at = inner.start() - 1
+                    stop, errors = at, [Syntax("quoting", start, 0, None)]
             except Broken as broken:
-                again = None if single else self.anchor.search(text, broken.offset)
+                again = None if single else self.anchor.search(text, broken.begin)
                 at = end if again is None else again.start() - 1
                 stop, errors = at, [Syntax("quoting", broken.offset, broken.field_no, None)]
             if not single and not errors and stop == start == end and start > 0:
@@ -135,7 +146,7 @@ class Grammar:
         while True:
             close = text.find('"', at)
             if close < 0:
-                raise Broken(begin, len(fields) + 1)
+                raise Broken(begin, len(fields) + 1, begin)
             parts.append(text[at:close])
             at = close + 1
             if not text.startswith('"', at):
@@ -145,7 +156,7 @@ class Grammar:
         if at == len(text) or text[at] == self.sep or (not single and text[at] in "\r\n"):
             fields.append("".join(parts))
             return self._line_end(text, at, single)
-        raise Broken(at, len(fields) + 1)
+        raise Broken(at, len(fields) + 1, begin)
 
     def _plain(self, text: str, at: int, fields: list[str], single: bool) -> int:
         stop = text.find(self.sep, at)
@@ -155,7 +166,7 @@ class Grammar:
             stop = stop if line < 0 else line
         quote = text.find('"', at, stop)
         if quote >= 0:
-            raise Broken(quote, len(fields) + 1)
+            raise Broken(quote, len(fields) + 1, at)
         value = text[at:stop]
         if not single and text.startswith("\n", stop) and value.endswith("\r"):
             value = value[:-1]
@@ -177,6 +188,7 @@ class Grammar:
 LABEL_UPDATE = Layout(
     ("label_uid", "semantic_label", "semantic_label_confidence", "pass_score", "quality_score", "refusal", "unsafe", "memorization_score", "evaluator", "notes"),
     {"pass_score": Within(0, 1), "quality_score": Within(1, 5), "refusal": Truth(), "unsafe": Truth()},
+    r'"?[0-9a-f]{16}(?![0-9A-Za-z])',
 )
 
 ERRORS = T.ArrayType(T.StructType([T.StructField("reason", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("field_no", T.IntegerType()), T.StructField("value", T.StringType())]))
@@ -204,6 +216,34 @@ def parse_lines(df: DataFrame, key: str, text: str, layout: Layout = LABEL_UPDAT
     return df.select(F.col(f"`{key}`").cast("bigint").alias("line_key"), F.col(f"`{text}`").cast("string").alias("line_text")).mapInArrow(parse, schema)
 
 
+#: Lines of a file that are parsed as one text.
+BLOCK_LINES = 2000
+
+
+def parse_files(df: DataFrame, file: str, line_no: str, key: str, text: str, layout: Layout = LABEL_UPDATE, block: int = BLOCK_LINES) -> DataFrame:
+    """parse_lines over whole files: their lines are joined in order, in blocks of lines, and the grammar finds the records in them.
+
+    A record has the key of the line in which it starts; record_no counts the records of a block. A record may go over several lines;
+    one that would go on in the next block ends with its own.
+    """
+    schema = T.StructType([T.StructField("line_key", T.LongType()), T.StructField("record_no", T.IntegerType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("errors", ERRORS)])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(layout)
+        for batch in batches:
+            for lines in batch.column(0).to_pylist():
+                starts = list(accumulate((len(x["text"]) + 1 for x in lines), initial=0))
+                rows = [
+                    {"line_key": lines[min(bisect_right(starts, r.start), len(lines)) - 1]["key"], "record_no": no, "fields": r.fields, "errors": [e._asdict() for e in r.errors]}
+                    for no, r in enumerate(grammar.parse("\n".join(x["text"] for x in lines) + "\n"), 1)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    line = F.struct(F.col(f"`{line_no}`").alias("no"), F.col(f"`{key}`").cast("bigint").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    blocks = df.groupBy(F.col(f"`{file}`").alias("file"), F.floor(F.col(f"`{line_no}`") / block).alias("block")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return blocks.select("lines").mapInArrow(parse, schema)
+
+
 def valid_records(parsed: DataFrame, layout: Layout = LABEL_UPDATE) -> DataFrame:
     """The records without errors as columns; checked scores as double, truth words as boolean, missing ones NULL."""
     from twinlens.functions.values import filled, number, truth

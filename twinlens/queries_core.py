@@ -50,7 +50,13 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.valid_records(parsed).drop("record_no").withColumnRenamed("line_key", "line_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p5_found": p5_found, "p5_valid": p5_valid}
+def p5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of p5_found when whole files are read: the parser has to find the records itself and to recover after broken quotes. A line that breaks into several bad records counts once per reason."""
+    parsed = R.parse_files(table(spark, sf_dir, "raw_label_lines"), "file_name", "line_no", "line_id", "raw_line")
+    return R.failed_records(parsed).select(F.col("line_key").alias("line_id"), "reason").distinct()
+
+
+QUERIES = {"p5_stream": p5_stream, "p1_found": p1_found, "p1_profile": p1_profile, "p5_found": p5_found, "p5_valid": p5_valid}
 
 _NUM = r"'[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?'"
 
@@ -148,4 +154,12 @@ union all select line_id, 'quality_score' from judged where ok and whole and b2
 union all select line_id, 'refusal' from judged where ok and whole and b3
 union all select line_id, 'unsafe' from judged where ok and whole and b4""",
     "p5_valid": _p5_valid_sql(),
+    "p5_stream": _P5_BASE
+    + """
+select line_id, 'quoting' as reason from judged where not ok
+union select line_id, 'column_count' from judged where ok and not whole
+union select line_id, 'pass_score' from judged where ok and whole and b1
+union select line_id, 'quality_score' from judged where ok and whole and b2
+union select line_id, 'refusal' from judged where ok and whole and b3
+union select line_id, 'unsafe' from judged where ok and whole and b4""",
 }
