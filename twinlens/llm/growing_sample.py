@@ -114,9 +114,15 @@ def grow_all(df: DataFrame, ledger: Ledger, stratum: str, key: str, load: str) -
     first = df.agg(F.min(at)).first()[0]
     number = F.coalesce(at, F.lit(first if first is not None else 0))
     new = df.select(number.alias("_load"), F.col(f"`{stratum}`").alias("_stratum"), F.col(f"`{key}`").alias("_key"))
-    for (n,) in new.select("_load").distinct().orderBy("_load").toLocalIterator():
-        if not done or n > done[-1]:
-            ledger.grow(new.filter(F.col("_load") == n), "_stratum", "_key", n)
+    if done:
+        new = new.filter(F.col("_load") > done[-1])
+    loads = [n for (n,) in new.select("_load").distinct().orderBy("_load").toLocalIterator()]
+    if len(loads) > 1:  # one folder per load, so that each step reads its own rows only
+        path = f"{shared_dir(df.sparkSession)}/twinlens-loads-{uuid.uuid4().hex}"
+        new.write.partitionBy("_load").parquet(path)
+        new = df.sparkSession.read.schema(new.schema).parquet(path)
+    for n in loads:
+        ledger.grow(new.filter(F.col("_load") == n), "_stratum", "_key", n)
     return ledger.chosen()
 
 
