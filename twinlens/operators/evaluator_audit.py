@@ -86,9 +86,13 @@ def schema_errors(schemas: Mapping[str, Mapping[str, object]]) -> list[str]:
 
 
 def gates(rows: DataFrame, tasks: DataFrame, batch_rows: DataFrame | None = None, schemas: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
-    """(gate, pass)."""
+    """(gate, pass); the gates of batches and of schemas only where those are given."""
     count = lambda df, name: df.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias(name))
     one = count(mapping_errors(rows), "mapping").crossJoin(count(task_errors(rows, tasks), "tasks")).crossJoin(rows.agg(F.count("*").alias("label_rows"))).crossJoin(tasks.agg(F.count("*").alias("task_rows")))
-    one = one.crossJoin(count(batch_errors(batch_rows), "batches")) if batch_rows is not None else one.withColumn("batches", F.lit(0))
-    fine = F.col("batches") == 0
-    return unpivot_gates(one, {"schema_complete": F.lit(not schemas or not schema_errors(schemas)), "label_mapping_complete": F.col("mapping") == 0, "task_index_consistent": F.expr("tasks = 0 and label_rows = task_rows"), "batch_index_consistent": fine, "batch_instruction_quality": fine})
+    found = {"label_mapping_complete": F.col("mapping") == 0, "task_index_consistent": F.expr("tasks = 0 and label_rows = task_rows")}
+    if batch_rows is not None:
+        one = one.crossJoin(count(batch_errors(batch_rows), "batches"))
+        found |= dict.fromkeys(("batch_index_consistent", "batch_instruction_quality"), F.col("batches") == 0)
+    if schemas is not None:
+        found["schema_complete"] = F.lit(not schema_errors(schemas))
+    return unpivot_gates(one, found)
